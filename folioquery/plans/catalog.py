@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+from folioquery.operators import incremental
+from folioquery.session import new_path, table
+
+
+def p5_found(spark, d):
+    due = incremental.next_run(table(spark, d, "documents"), table(spark, d, "import_runs"), new_path(spark, "p5"))
+    return due.select("doc_id")
+
+
+P5 = """
+with c as (select source, max(cutoff_at) as cutoff from import_runs where status = 'success' group by 1),
+d as (
+  select doc_id, text, d.source, cutoff, greatest(imported_at, updated_at) as t,
+    case when external_id is null or external_id = '' then 'd:' || doc_id else 'e:' || external_id end as record
+  from documents d left join c on d.source = c.source),
+o as (select *, t is null or cutoff is null or t > cutoff as open from d),
+r as (select *, row_number() over (partition by source, record, open order by (t is null) desc, t desc, doc_id desc) as r from o)
+select a.doc_id from r a left join r b on a.source is not distinct from b.source and a.record = b.record and b.r = 1 and not b.open
+where a.r = 1 and a.open and not (b.doc_id is not null and a.text is not distinct from b.text)"""
+
 
 def queries() -> dict:
-    return {}
+    return {"p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5}
