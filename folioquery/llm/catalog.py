@@ -2,17 +2,82 @@
 
 from __future__ import annotations
 
-from folioquery.llm import neighbours
-from folioquery.session import table
+from pyspark.sql import functions as F
+
+from folioquery.llm import batchdedup, bpe, distinctive, lookalike, neighbours, packing, rankfusion, termstats, truncation
+from folioquery.llm.oracle import SQL
+from folioquery.session import new_path, table
+
+
+def p1_found(spark, d):
+    return rankfusion.found(table(spark, d, "search_hits"), table(spark, d, "search_queries"), table(spark, d, "content_blocks"))
+
+
+def p1_ranking(spark, d):
+    r = rankfusion.ranking(table(spark, d, "search_hits"), table(spark, d, "search_queries"), table(spark, d, "content_blocks"))
+    return r.select("query_id", "document_id", "block_id", "keyword_rank", "vector_rank", F.round("rrf", 10).alias("rrf"))
+
+
+def _counts(spark, d):
+    counts = termstats.TermCounts(spark, new_path(spark, "p2"))
+    counts.apply(added=table(spark, d, "search_terms"))
+    return counts
+
+
+def p2_found(spark, d):
+    return termstats.verdicts(_counts(spark, d)).filter("verdict is not null").select("term", "verdict")
+
+
+def p2_terms(spark, d):
+    return termstats.verdicts(_counts(spark, d))
 
 
 def p3_found(spark, d):
     return neighbours.similar_pairs(table(spark, d, "vectors"))
 
 
+def p4_found(spark, d):
+    return lookalike.found(table(spark, d, "content_blocks"), table(spark, d, "search_terms"))
+
+
+def p4_contents(spark, d):
+    """Every content in its one form."""
+    c = table(spark, d, "content_blocks").select("block_key", "content")
+    return lookalike.canonical(c, "content", "form", lookalike.corpus_forms(c.select("content"))).select("block_key", "form")
+
+
+def p6_found(spark, d):
+    return distinctive.found(table(spark, d, "search_terms"), table(spark, d, "document_stats"))
+
+
+def p6_scores(spark, d):
+    s = distinctive.scored(table(spark, d, "search_terms"), table(spark, d, "document_stats"))
+    return s.select("document_id", "term", "tf", "total", "df", F.round("score", 9).alias("score"))
+
+
+def p7_found(spark, d):
+    return batchdedup.found(table(spark, d, "documents"))
+
+
+def p8_ids(spark, d):
+    return bpe.encoded(table(spark, d, "documents"))
+
+
+def p9_containers(spark, d):
+    return packing.containers(table(spark, d, "documents"))
+
+
+def p10_found(spark, d):
+    return truncation.found(table(spark, d, "documents"))
+
+
+def p10_rates(spark, d):
+    return truncation.rates(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found}
+    return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
