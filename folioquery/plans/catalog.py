@@ -1,9 +1,456 @@
-"""Every query of the core, by name, and the SQL that must give the same rows."""
+"""Every query of the core, by name. The SQL that must give the same rows is in
+plans.oracle; queries without one are tested by round trip or brute force."""
 
 from __future__ import annotations
 
-from folioquery.operators import incremental
-from folioquery.session import new_path, table
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from folioquery.functions import text as T
+from folioquery.functions import tokens as K
+from folioquery.functions import vectors as V
+from folioquery.operators import chunking, embedding, incremental, lifecycle, search
+from folioquery.operators import filters as flt
+from folioquery.operators import index as ix
+from folioquery.plans.oracle import SQL
+from folioquery.session import new_path, table, written
+
+MODEL_SIZES = {"quill-embed-96": 96, "quill-embed-64": 64}
+QUERY = "the annual report and the legal contract"
+
+
+# --- the store's tables, from the driver's -------------------------------------
+def docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def blocks(spark, d):
+    return ix.unique_blocks(table(spark, d, "content_blocks"))
+
+
+def posts(spark, d):
+    return ix.unique_postings(table(spark, d, "search_terms"))
+
+
+def stats(spark, d):
+    return ix.unique_stats(table(spark, d, "document_stats"))
+
+
+def tags(spark, d):
+    t = docs(spark, d).select("document_id", F.explode(F.create_map(F.lit("lang"), F.col("lang"), F.lit("format"), F.col("format"), F.lit("batch"), F.col("batch_no").cast("string"))).alias("tag_key", "tag_value"))
+    return t.filter("tag_value is not null")
+
+
+def vecs(spark, d):
+    v = table(spark, d, "vectors").filter("vec_id is not null")
+    size = F.when(F.col("model") == "quill-embed-96", 96).when(F.col("model") == "quill-embed-64", 64)
+    return v.filter(V.usable(F.col("vector"), size)).dropDuplicates(["vec_id"])
+
+
+def one_query(spark, text=QUERY):
+    return spark.createDataFrame([(0, text)], "query_id long, query_text string")
+
+
+def bm25(spark, d, queries):
+    return search.bm25(queries, posts(spark, d), stats(spark, d))
+
+
+# --- index ----------------------------------------------------------------------
+def block_split(spark, d):
+    return ix.split_lines(docs(spark, d)).select("doc_id", "sequence", "block_id", "content")
+
+
+def tokenize(spark, d):
+    return ix.tokenized(blocks(spark, d))
+
+
+def stem_vocab(spark, d):
+    return T.stemmed_vocabulary(ix.tokenized(blocks(spark, d), stop_words=False), "token")
+
+
+def postings(spark, d):
+    p = ix.postings(blocks(spark, d), stemming=False)
+    return p.select("term", "document_id", "block_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), F.round("tf", 6).alias("tf"))
+
+
+def doc_stats(spark, d):
+    b = blocks(spark, d)
+    s = ix.document_stats(b, ix.postings(b, stemming=False))
+    return s.select("document_id", "total_terms", "unique_terms", F.round("avg_block_length", 6).alias("avg_block_length"))
+
+
+def corpus_stats(spark, d):
+    s = ix.corpus_stats(stats(spark, d))
+    return s.select("total_documents", F.round("avg_doc_length", 6).alias("avg_doc_length"), F.round("avg_block_length", 6).alias("avg_block_length"))
+
+
+def doc_frequency(spark, d):
+    return ix.document_frequency(posts(spark, d))
+
+
+def keywords_topn(spark, d):
+    return ix.keywords(blocks(spark, d), 5).select("document_id", "keyword", "n", "rank")
+
+
+def section_propagation(spark, d):
+    return ix.sections(blocks(spark, d), F.coalesce("is_heading", F.lit(False))).select("document_id", "block_id", F.col("section_now").alias("section"))
+
+
+def keyword_scope(spark, d):
+    return ix.keyword_scope(blocks(spark, d)).select("document_id", "block_id", "scope")
+
+
+def page_estimate(spark, d):
+    lines = ix.split_lines(docs(spark, d))
+    n = lines.groupBy("doc_id").agg(F.count("*").alias("total"))
+    p = docs(spark, d).select("doc_id", F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1)).alias("pages"))
+    return ix.placed(lines.join(n, "doc_id").join(p, "doc_id"), "total", "pages").select("doc_id", "sequence", F.col("page_now").alias("page"), F.col("y_now").alias("y"))
+
+
+# --- text -----------------------------------------------------------------------
+def heading_detect(spark, d):
+    b = blocks(spark, d)
+    return b.select("document_id", "block_id", T.is_heading(F.col("content"), F.col("font.size"), F.col("font.bold")).alias("heading"), T.is_page_heading(F.col("content"), F.col("font.size"), F.col("font.name")).alias("page_heading"))
+
+
+def heading_level(spark, d):
+    b = blocks(spark, d)
+    return b.select("document_id", "block_id", T.heading_level(F.col("font.size"), T.is_bold(F.col("font.name"))).alias("level"), T.is_italic(F.col("font.name")).alias("italic"))
+
+
+def list_detect(spark, d):
+    return blocks(spark, d).select("document_id", "block_id", T.is_list_item(F.col("content")).alias("item"))
+
+
+def query_type(spark, d):
+    q = table(spark, d, "search_queries")
+    kind = T.query_kind(F.col("query_text"))
+    return q.select("query_id", kind.alias("kind"), T.suggested_mode(kind).alias("mode"), T.described(kind).alias("description"))
+
+
+def snippets(spark, d):
+    return blocks(spark, d).select("document_id", "block_id", T.snippet(F.col("content"), F.lit("the"), "<b>", "</b>").alias("snippet"))
+
+
+def highlights(spark, d):
+    return docs(spark, d).select("doc_id", T.highlighted(F.col("text"), ["report", "contract", "annual"], "<b>", "</b>").alias("snippet"))
+
+
+def normalize_text(spark, d):
+    return blocks(spark, d).select("document_id", "block_id", T.normalized(F.col("content")).alias("text"))
+
+
+def token_estimate(spark, d):
+    return docs(spark, d).select("doc_id", K.estimate(F.col("text")).alias("tokens"))
+
+
+def token_truncate(spark, d):
+    return docs(spark, d).select("doc_id", K.truncated(F.col("text"), 40).alias("text"))
+
+
+def token_budget(spark, d):
+    b = blocks(spark, d).select("document_id", "block_id", "sequence", K.estimate_block(F.col("content"), F.col("section")).alias("tokens"))
+    return K.within_budget(b, "tokens", 60, ["document_id"], ["sequence", "block_id"]).select("document_id", "block_id", "used", "kept")
+
+
+def text_hash(spark, d):
+    return blocks(spark, d).select("document_id", "block_id", V.text_hash(F.col("content")).alias("text_hash"))
+
+
+def word_excerpt(spark, d):
+    return blocks(spark, d).select("document_id", "block_id", T.excerpt(F.col("content"), F.lit(3), 2).alias("excerpt"))
+
+
+def file_formats(spark, d):
+    return docs(spark, d).select("doc_id", T.file_format(F.coalesce("original_path", "name")).alias("kind"), T.or_default(F.col("external_id"), "none").alias("external"), T.image_format(F.col("format")).alias("image"))
+
+
+# --- filters ----------------------------------------------------------------------
+def filter_sources(spark, d):
+    return flt.Filter(sources=["crm_notes", "pdf"]).apply(docs(spark, d)).select("doc_id")
+
+
+def filter_tags_and(spark, d):
+    return flt.Filter(tags={"lang": "en", "format": "pdf"}).apply(docs(spark, d), tags(spark, d)).select("doc_id")
+
+
+def filter_tags_negated(spark, d):
+    return flt.Filter(tags={"lang": "!en", "format": "pdf"}).apply(docs(spark, d), tags(spark, d)).select("doc_id")
+
+
+def filter_dsl(spark, d):
+    f = flt.Filter(formats=["pdf", "docx"], after=datetime(2025, 6, 1), before=datetime(2026, 3, 1), min_pages=2, max_pages=40)
+    return f.apply(docs(spark, d)).select("doc_id")
+
+
+def filter_has_embeddings(spark, d):
+    return flt.Filter(has_embeddings=True).apply(docs(spark, d), vectors=table(spark, d, "vectors")).select("doc_id")
+
+
+def block_filters(spark, d):
+    return blocks(spark, d).filter(flt.block_filter(pages=(1, 2), types=["text", "list"])).select("document_id", "block_id")
+
+
+def search_filtered(spark, d):
+    """Documents are filtered before ranking, so the best of what is left come out."""
+    kept = flt.Filter(sources=["crm_notes", "wiki_export"]).apply(docs(spark, d))
+    s = flt.restricted(bm25(spark, d, table(spark, d, "search_queries")), kept)
+    return search.top(s, 5).select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
+
+
+# --- search -----------------------------------------------------------------------
+def _scores(df):
+    return df.select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
+
+
+def bm25_topk(spark, d):
+    return _scores(search.top(bm25(spark, d, one_query(spark)), 20))
+
+
+def bm25_batch(spark, d):
+    return _scores(search.top(bm25(spark, d, table(spark, d, "search_queries")), 10))
+
+
+def bm25_heading_boost(spark, d):
+    return _scores(search.top(search.boosted(bm25(spark, d, table(spark, d, "search_queries")), blocks(spark, d)), 10))
+
+
+def bm25_min_score(spark, d):
+    return _scores(search.top(search.boosted(bm25(spark, d, table(spark, d, "search_queries")), blocks(spark, d), min_score=1.0), 10))
+
+
+def boolean_search(spark, d):
+    return search.boolean_matches(posts(spark, d), "annual AND report NOT the")
+
+
+def phrase_search(spark, d):
+    return search.boolean_matches(posts(spark, d), '"belongs to"')
+
+
+def _asking(spark, d):
+    v = vecs(spark, d)
+    return v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "model", "vector"), v.select("vec_id", "model", "vector")
+
+
+def knn_batch(spark, d):
+    q, v = _asking(spark, d)
+    return search.nearest(q, v, 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def knn_min_similarity(spark, d):
+    q, v = _asking(spark, d)
+    return search.nearest(q, v, 10, least=0.8).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def knn_filtered(spark, d):
+    q, _ = _asking(spark, d)
+    kept = flt.Filter(sources=["crm_notes", "wiki_export"]).apply(docs(spark, d))
+    return search.nearest(q, flt.restricted(vecs(spark, d), kept).select("vec_id", "model", "vector"), 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _branches(spark, d):
+    """The two lists of each query, as the index and the vectors gave them."""
+    h = table(spark, d, "search_hits").filter("score is not null and not isnan(score) and score < double('Infinity') and score > double('-Infinity')")
+    best = h.groupBy("query_id", "branch", "document_id", "block_id").agg(F.max("score").alias("score"))
+    best = written(best, "branches")
+    of = lambda b: best.filter(F.col("branch") == b).drop("branch")
+    return of("keyword"), of("vector")
+
+
+def rrf_fusion(spark, d):
+    k, v = _branches(spark, d)
+    f = search.fuse(search.top(k, 20), search.top(v, 20))
+    return f.select("query_id", "document_id", "block_id", "keyword_rank", "vector_rank", F.round("score", 9).alias("score"))
+
+
+def weighted_fusion(spark, d):
+    k, v = _branches(spark, d)
+    f = search.fuse(search.top(k, 20), search.top(v, 20), 0.3, 0.7, use_rrf=False)
+    return f.select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"))
+
+
+def score_normalize(spark, d):
+    k, _ = _branches(spark, d)
+    return search.normalized(k).select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"))
+
+
+def diversify(spark, d):
+    k, _ = _branches(spark, d)
+    return search.diversified(search.top(k, 20), 2).select("query_id", "document_id", "block_id", "rank")
+
+
+def citations(spark, d):
+    k, _ = _branches(spark, d)
+    return search.cited(search.top(k, 5)).select("query_id", "document_id", "block_id", "citation")
+
+
+def hybrid_search(spark, d):
+    k, v = _branches(spark, d)
+    return search.hybrid(k, v, 10, min_score=0.2).select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
+
+
+def agent_search(spark, d):
+    """Best hits of each query with intent, citation, text, context and tokens."""
+    k, v = _branches(spark, d)
+    hits = search.cited(search.hybrid(k, v, 5))
+    b = blocks(spark, d)
+    near = search.context(b, 1).select("document_id", "block_id", "content", "before", "after")
+    kind = T.query_kind(F.col("query_text"))
+    q = table(spark, d, "search_queries").select("query_id", kind.alias("kind"))
+    named = search.with_metadata(hits.join(near, ["document_id", "block_id"]).join(q, "query_id"), docs(spark, d))
+    return named.select("query_id", "kind", "citation", "document_id", "block_id", "source", K.estimate(F.col("content")).alias("tokens"), F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+
+
+def context_window(spark, d):
+    c = search.context(blocks(spark, d), 2)
+    return c.select("document_id", "block_id", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+
+
+def metadata_join(spark, d):
+    k, _ = _branches(spark, d)
+    m = search.with_metadata(search.top(k, 5), docs(spark, d), tags(spark, d))
+    return m.select("query_id", "document_id", "block_id", "document_name", "source", "external_id", F.col("tags")["lang"].alias("lang"))
+
+
+def image_blocks(spark, d):
+    """Images of the blocks in a section, joined by document and block."""
+    b = blocks(spark, d)
+    images = b.filter("type = 'image'").select(F.concat_ws("_", "document_id", "block_id").alias("image_id"), "document_id", "block_id", F.lit("png").alias("format"))
+    kept = search.images_of_section(images, b, F.col("section").isNotNull())
+    return search.with_images(kept, images).select("document_id", "block_id", F.array_join("images", ",").alias("images"))
+
+
+# --- chunks -----------------------------------------------------------------------
+def _chunks(spark, d, **opts):
+    return chunking.chunked(docs(spark, d), "doc_id", "text", chunking.ChunkOptions(**opts))
+
+
+def chunk_paragraph(spark, d):
+    return _chunks(spark, d, max_tokens=128)
+
+
+def chunk_sentence(spark, d):
+    return _chunks(spark, d, max_tokens=128, overlap_tokens=16, chunk_by="sentence")
+
+
+def chunk_tokens(spark, d):
+    return _chunks(spark, d, max_tokens=128, overlap_tokens=16, chunk_by="tokens")
+
+
+def chunk_text(spark, d):
+    return chunking.embedding_pieces(docs(spark, d), "doc_id", "text", 1000, 100)
+
+
+def chunk_blocks(spark, d):
+    b = blocks(spark, d).select("document_id", "sequence", "block_id", K.estimate_block(F.col("content"), F.col("section")).alias("tokens"))
+    return chunking.grouped_rows(b, "document_id", ["sequence", "block_id"], "tokens", 64, alone=True)
+
+
+def chunk_hits(spark, d):
+    k, _ = _branches(spark, d)
+    b = blocks(spark, d).select("document_id", "block_id", K.estimate(F.col("content")).alias("tokens"))
+    return chunking.grouped_rows(search.top(k, 20).join(b, ["document_id", "block_id"]), "query_id", ["rank"], "tokens", 64)
+
+
+def combine_blocks(spark, d):
+    b = blocks(spark, d).select("document_id", "sequence", "content", F.floor(F.col("sequence") / 5).alias("part"))
+    return chunking.combined(b, ["document_id", "part"], "sequence", "content")
+
+
+# --- lifecycle --------------------------------------------------------------------
+def content_hash(spark, d):
+    return lifecycle.content_hashes(blocks(spark, d))
+
+
+def dedup_checksum(spark, d):
+    return lifecycle.duplicates(docs(spark, d), "checksum", "checksum")
+
+
+def dedup_content(spark, d):
+    h = lifecycle.content_hashes(blocks(spark, d))
+    return lifecycle.duplicates(h, "content_hash", "content_hash")
+
+
+def similar_documents(spark, d):
+    x = docs(spark, d)
+    return lifecycle.alike(x, x.filter("doc_id % 20 = 0"))
+
+
+def pending_documents(spark, d):
+    return lifecycle.pending(docs(spark, d), table(spark, d, "vectors")).select("document_id")
+
+
+def incomplete_embeddings(spark, d):
+    return lifecycle.incomplete(blocks(spark, d), table(spark, d, "vectors"))
+
+
+def unembedded_blocks(spark, d):
+    return lifecycle.unembedded(blocks(spark, d), table(spark, d, "vectors")).select("document_id", "block_id")
+
+
+def embedding_status(spark, d):
+    return lifecycle.status(blocks(spark, d), table(spark, d, "vectors")).withColumn("progress", F.round("progress", 6))
+
+
+def missing_block_embeddings(spark, d):
+    return lifecycle.missing(blocks(spark, d), table(spark, d, "vectors"))
+
+
+def needs_reembedding(spark, d):
+    return lifecycle.stale(blocks(spark, d), table(spark, d, "vectors"))
+
+
+def source_stats(spark, d):
+    return lifecycle.by_source(docs(spark, d), blocks(spark, d), table(spark, d, "vectors"))
+
+
+def vector_info(spark, d):
+    return lifecycle.vector_info(table(spark, d, "vectors"))
+
+
+def last_import(spark, d):
+    return lifecycle.last_import(docs(spark, d))
+
+
+def store_stats(spark, d):
+    return lifecycle.store_stats(docs(spark, d), blocks(spark, d), table(spark, d, "search_terms"), table(spark, d, "vectors"))
+
+
+def health(spark, d):
+    return lifecycle.health(docs(spark, d), blocks(spark, d), table(spark, d, "vectors"))
+
+
+def upsert_latest(spark, d):
+    x = docs(spark, d).select("document_id", "source", "external_id", "name", "created_at", "imported_at", "batch_no")
+    return lifecycle.upserted(x.filter("batch_no = 0").drop("batch_no"), x.filter("batch_no > 0").drop("batch_no")).select("document_id", "source", "external_id", "created_at")
+
+
+def delete_cascade(spark, d):
+    gone = docs(spark, d).filter("source = 'wiki_export'")
+    count = lambda name, df: lifecycle.without(df, gone).agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    return count("documents", docs(spark, d)).unionByName(count("blocks", blocks(spark, d))).unionByName(count("postings", posts(spark, d)))
+
+
+def embed_hash(spark, d):
+    """Every embeddable block through the offline provider."""
+    b = blocks(spark, d).filter(lifecycle.embeddable()).select("document_id", "block_id", "content")
+    return embedding.embedded(b, embedding.HashProvider()).select("document_id", "block_id", "vector", "model", "dimension", "error")
+
+
+def parsed_files(spark, d):
+    """Every document written as a file and parsed again (a round trip)."""
+    from folioquery.sources import files, maker
+
+    return files.parsed(maker.made(docs(spark, d).filter("text is not null").select("doc_id", "text"))).select("path", "sequence", "type", "content", "error")
+
+
+def stream_last_event(spark, d):
+    from folioquery.streaming import ingest
+
+    schema = table(spark, d, "events").schema
+    s = ingest.source(spark, d, schema, "events.parquet")
+    return ingest.last_times(s, new_path(spark, "stream"), "event_type", "ts")
 
 
 def p5_found(spark, d):
@@ -11,21 +458,12 @@ def p5_found(spark, d):
     return due.select("doc_id")
 
 
-P5 = """
-with c as (select source, max(cutoff_at) as cutoff from import_runs where status = 'success' group by 1),
-d as (
-  select doc_id, text, d.source, cutoff, greatest(imported_at, updated_at) as t,
-    case when external_id is null or external_id = '' then 'd:' || doc_id else 'e:' || external_id end as record
-  from documents d left join c on d.source = c.source),
-o as (select *, t is null or cutoff is null or t > cutoff as open from d),
-r as (select *, row_number() over (partition by source, record, open order by (t is null) desc, t desc, doc_id desc) as r from o)
-select a.doc_id from r a left join r b on a.source is not distinct from b.source and a.record = b.record and b.r = 1 and not b.open
-where a.r = 1 and a.open and not (b.doc_id is not null and a.text is not distinct from b.text)"""
+HELPERS = {"docs", "blocks", "posts", "stats", "tags", "vecs", "one_query", "bm25", "table", "new_path", "written", "queries", "oracle_sql"}
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found}
+    return {k: f for k, f in globals().items() if callable(f) and k[0] != "_" and k not in HELPERS and getattr(f, "__module__", "") == __name__}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5}
+    return dict(SQL)
