@@ -36,7 +36,7 @@ def truncated(text: Column, limit: int) -> Column:
     est = estimate(text)
     size = F.floor(F.char_length(text) * (F.lit(float(limit)) / est) * 0.95).cast("int")
     cut = F.substring(text, F.lit(1), size)
-    whole = F.regexp_replace(cut, r"\s\S*$", "")
+    whole = F.regexp_replace(cut, r"\s\S*\z", "")
     back = F.when(F.char_length(whole) > F.floor(size / 2), whole).otherwise(cut)
     return F.when(est <= limit, text).otherwise(F.concat(F.trim(back), F.lit("...")))
 

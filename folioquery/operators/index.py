@@ -31,9 +31,9 @@ def unique_stats(stats: DataFrame) -> DataFrame:
 
 def split_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sequence, block_id, content): the lines with ink of each text."""
-    lines = F.filter(F.split(F.col("text"), "\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.col("text"), "\r?\n"), lambda x: x.rlike(r"[^\s\p{Z}]"))
     d = documents.select(key, F.posexplode(lines).alias("sequence", "content"))
-    return d.select(key, "sequence", F.format_string("blk_%05d", F.col("sequence") + 1).alias("block_id"), F.trim("content").alias("content"))
+    return d.select(key, "sequence", F.format_string("blk_%05d", F.col("sequence") + 1).alias("block_id"), F.regexp_replace("content", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("content"))
 
 
 def tokenized(blocks: DataFrame, stop_words: bool = True) -> DataFrame:

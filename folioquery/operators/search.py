@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -99,10 +98,11 @@ def boolean_matches(posts: DataFrame, text: str) -> DataFrame:
         cond = cond & ~has(w)
     if q["may"] and not q["must"] and not q["phrases"]:
         cond = cond & F.array(*[has(w) for w in q["may"]]).cast("string").contains("true")
+    back = lambda positions, k: F.transform(positions, lambda x: x - k)
     for ph in q["phrases"]:
         starts = F.element_at("at", ph[0])
         for k, w in enumerate(ph[1:], 1):
-            starts = F.array_intersect(starts, F.transform(F.element_at("at", w), lambda x, k=k: x - k))
+            starts = F.array_intersect(starts, back(F.element_at("at", w), k))
         cond = cond & F.coalesce(F.size(starts) > 0, F.lit(False))
     return held.filter(cond).select("document_id", "block_id")
 
@@ -122,8 +122,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0,
     q = queries.select(F.col("query_id").alias("id"), "model", "vector", F.lit(True).alias("asks"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("vb"))
     v = vectors.select(F.col("vec_id").alias("id"), "model", "vector", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("vb"))
 
-    def run(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames), ignore_index=True)
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})]
         x = np.stack(f["vector"].to_numpy()).astype(np.float64)
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         asks, ids = f["asks"].to_numpy(), f["id"].to_numpy()
@@ -131,14 +131,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0,
         vi, vx = ids[~asks][order], x[~asks][order]
         qi, qx = ids[asks], x[asks]
         if not len(vi) or not len(qi):
-            return
+            return out[0]
         for i in range(0, len(qi), 256):
             s = np.round(qx[i : i + 256] @ vx.T, 9)
             s[qi[i : i + 256][:, None] == vi[None, :]] = -2
             m = min(k, s.shape[1])
             kth = -np.partition(-s, m - 1, axis=1)[:, m - 1]
             a, b = np.nonzero((s >= np.maximum(kth, least)[:, None]) & (s > -2))
-            yield pd.DataFrame({"query_id": qi[i + a], "vec_id": vi[b], "similarity": s[a, b]})
+            out.append(pd.DataFrame({"query_id": qi[i + a], "vec_id": vi[b], "similarity": s[a, b]}))
+        return pd.concat(out, ignore_index=True)
 
     near = q.unionByName(v).groupBy("model", "qb", "vb").applyInPandas(run, "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")

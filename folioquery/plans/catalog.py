@@ -293,7 +293,7 @@ def hybrid_search(spark, d):
 def agent_search(spark, d):
     """Best hits of each query with intent, citation, text, context and tokens."""
     k, v = _branches(spark, d)
-    hits = search.cited(search.hybrid(k, v, 5))
+    hits = search.cited(search.hybrid(k, v, 10).filter("rank <= 5"))
     b = blocks(spark, d)
     near = search.context(b, 1).select("document_id", "block_id", "content", "before", "after")
     kind = T.query_kind(F.col("query_text"))

@@ -130,9 +130,9 @@ where a.r = 1 and a.open and not (b.doc_id is not null and a.text is not distinc
 
 SQL = {
     "block_split": """
-with l as (select doc_id, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x) <> '') as l from documents where text is not null),
+with l as (select doc_id, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '[^\\s\\p{Z}]')) as l from documents where text is not null),
 e as (select doc_id, unnest(l) as content, generate_subscripts(l, 1) - 1 as sequence from l)
-select doc_id, sequence, printf('blk_%05d', sequence + 1) as block_id, trim(content) as content from e""",
+select doc_id, sequence, printf('blk_%05d', sequence + 1) as block_id, regexp_replace(content, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as content from e""",
     "tokenize": f"""
 with {BLOCKS}, t as (select document_id, block_id, {tokens('content')} as l from b where coalesce(type, 'text') <> 'image')
 select document_id, block_id, generate_subscripts(l, 1) - 1 as position, unnest(l) as token from t""",
@@ -160,7 +160,7 @@ with {BLOCKS} select document_id, block_id, case when coalesce(is_heading, false
 with {BLOCKS}, h as (select *, max(coalesce(is_heading, false)::int) over (partition by document_id order by sequence, block_id rows between 5 preceding and 1 preceding) as near from b)
 select document_id, block_id, case when coalesce(is_heading, false) then 'document' when near = 1 then 'own' end as scope from h""",
     "page_estimate": """
-with l as (select doc_id, greatest(coalesce(page_count, 1), 1) as pages, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x) <> '') as l from documents where text is not null),
+with l as (select doc_id, greatest(coalesce(page_count, 1), 1) as pages, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '[^\\s\\p{Z}]')) as l from documents where text is not null),
 e as (select doc_id, pages, len(l) as total, generate_subscripts(l, 1) - 1 as sequence from l)
 select doc_id, sequence, least(sequence // greatest(total // pages, 1) + 1, pages)::int as page, 720e0 - (sequence % 46) * 14e0 as y from e""",
     "heading_detect": f"""
@@ -178,16 +178,16 @@ with {BLOCKS}, x as (select *, trim(coalesce(content, '')) as t from b)
 select document_id, block_id, t <> '' and (contains('{BULLETS}', left(t, 1)) or regexp_matches(t, '{NUMBERED}')) as item from x""",
     "query_type": f"with q as (select query_id, {kind()} as kind from search_queries) select query_id, kind, {mapped(SUGGESTED, 'kind')} as mode, {mapped(DESCRIBED, 'kind')} as description from q",
     "snippets": f"""
-with {BLOCKS}, x as (select *, strpos(lower(content), 'the') as at, length(content) as n from b), y as (select *, greatest(at - 50, 1) as s, least(at + 103, n + 1) as e from x)
-select document_id, block_id, case when at > 0 then regexp_replace((case when s > 1 then '...' else '' end) || substr(content, s, e - s) || (case when e <= n then '...' else '' end), '(the)', '<b>\\1</b>', 'gi')
+with {BLOCKS}, x as (select *, strpos(lower(content), 'the') as pos, length(content) as n from b), y as (select *, greatest(pos - 50, 1) as s, least(pos + 103, n + 1) as e from x)
+select document_id, block_id, case when pos > 0 then regexp_replace((case when s > 1 then '...' else '' end) || substr(content, s, e - s) || (case when e <= n then '...' else '' end), '(the)', '<b>\\1</b>', 'gi')
   when n > 200 then left(content, 200) || '...' else content end as snippet from y""",
     "highlights": "select doc_id, regexp_replace(case when length(text) > 200 then left(text, 200) || '...' else text end, '(contract|annual|report)', '<b>\\1</b>', 'gi') as snippet from documents",
     "normalize_text": f"with {BLOCKS} select document_id, block_id, {NORM.format('content')} as text from b",
     "token_estimate": f"select doc_id, {estimate('text')} as tokens from documents",
     "token_truncate": f"""
-with e as (select doc_id, text, {estimate('text')} as est from documents), c as (select *, left(text, floor(length(text) * (40e0 / est) * 0.95e0)::int) as cut from e),
+with e as (select doc_id, text, {estimate('text')} as est from documents), c as (select *, left(text, floor(length(text) * (40e0 / nullif(est, 0)) * 0.95e0)::int) as cut from e),
 w as (select *, regexp_replace(cut, '\\s\\S*$', '') as whole from c)
-select doc_id, case when est <= 40 then text else trim(case when length(whole) > floor(length(text) * (40e0 / est) * 0.95e0)::int // 2 then whole else cut end) || '...' end as text from w""",
+select doc_id, case when est <= 40 then text else trim(case when length(whole) > floor(length(text) * (40e0 / nullif(est, 0)) * 0.95e0)::int // 2 then whole else cut end) || '...' end as text from w""",
     "token_budget": f"""
 with {BLOCKS}, x as (select document_id, block_id, sequence, {estimate('content')} + {estimate('section')} as tokens from b)
 select document_id, block_id, (sum(tokens) over w)::bigint as used, (sum(tokens) over w) <= 60 as kept from x window w as (partition by document_id order by sequence, block_id rows unbounded preceding)""",
