@@ -112,7 +112,8 @@ def retried(provider: Provider, texts: list[str], retries: int = 3, delay: float
 def embedded(chunks: DataFrame, provider: Provider, column: str = "content") -> DataFrame:
     """chunks with ``vector``, ``model``, ``dimension`` and ``error``. A batch
     that fails gives null vectors and its error, and the job goes on; blank
-    texts get neither."""
+    texts get neither. Columns of these names are replaced."""
+    chunks = chunks.drop("vector", "model", "dimension", "error")
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema]) + ", vector array<float>, model string, dimension int, error string"
     at = chunks.columns.index(column)
 
