@@ -62,7 +62,11 @@ class ChangedPartitions:
         return buckets
 
     def result(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/result").filter(~F.col("blank")).drop("blank", "bucket")
+        """What the last run left; without any result yet, no rows."""
+        at = f"{self.path}/result"
+        if not path_exists(self.spark, at):
+            return self.spark.createDataFrame([], "source string, record string, doc_id long")
+        return self.spark.read.parquet(at).filter(~F.col("blank")).drop("blank", "bucket")
 
 
 def cutoffs(runs: DataFrame) -> DataFrame:
