@@ -19,6 +19,7 @@ taken whole whatever their length.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ DRAWN_ALIKE = {
 }
 LINE_ENDS = "\x0b\x0c\x85\u2028\u2029"
 FILLERS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0}
+CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 LAST = 0x1FFFF  # no decomposition of interest beyond, but for compatibility ideographs
 JOINED = {"<compat>", "<isolated>", "<initial>", "<medial>", "<final>"}
 
@@ -79,13 +81,18 @@ def _rules() -> tuple[dict[int, str], list[tuple[str, str]]]:
     return first, edges
 
 
+@cache
+def _first_signs() -> dict[str, str]:
+    return {chr(c): s for c, s in _rules()[0].items() if chr(c) != s}
+
+
 class Forms:
     """The classes and the automaton that rewrites texts to them."""
 
     def __init__(self, frequency: dict[str, int] | None = None):
         """frequency: occurrences of each string in the corpus; without it, the
         second member of an edge's pair counts as the rarer one."""
-        first, edges = _rules()
+        edges = _rules()[1]
         frequency = frequency or {}
         root: dict[str, str] = {}
 
@@ -107,7 +114,6 @@ class Forms:
             size = max(map(len, members))
             best = max((x for x in members if len(x) == size), key=lambda x: (frequency.get(x, 0), prior[x], -ord(x[0])))
             self.form |= {x: best for x in members if x != best}
-        self.first = {c: s for c, s in first.items() if chr(c) != s}
         # A form may itself hold letters of another class.
         single = {k: v for k, v in self.form.items() if len(k) == 1}
         self.form = {k: "".join(single.get(c, c) if len(v) > 1 else c for c in v) for k, v in self.form.items()}
@@ -116,21 +122,30 @@ class Forms:
         for k, v in self.form.items():
             self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
+        self.heads = {k[0] for k in self.form}
 
     def __reduce__(self):
         return _restore, (self.form,)
 
     def rewrite(self, text: str) -> str:
-        if self.plain and text.isascii() and "\r" not in text and "\t" not in text and text.isprintable():
+        if self.plain and text.isascii() and not CONTROL.search(text):
             return text
         if "\r" in text:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
-        text = unicodedata.normalize("NFD", text.translate(self.first))
+        first = _first_signs()
+        for c in set(text) & first.keys():
+            text = text.replace(c, first[c])
+        text = unicodedata.normalize("NFD", text)
+        if not self.heads.isdisjoint(set(text)):  # most texts have no pattern to look for
+            text = self._replaced(text)
+        return unicodedata.normalize("NFC", text)
+
+    def _replaced(self, text: str) -> str:
         out, at = [], 0
         for end, (size, form) in self.automaton.iter_long(text):
             out += (text[at : end - size + 1], form)
             at = end + 1
-        return unicodedata.normalize("NFC", "".join([*out, text[at:]]))
+        return "".join([*out, text[at:]])
 
 
 _KEPT: dict[int, Forms] = {}
@@ -142,11 +157,11 @@ def _restore(form: dict[str, str]) -> Forms:
     if key not in _KEPT:
         made = Forms.__new__(Forms)
         made.form, made.plain = form, not any(k.isascii() for k in form)
-        made.first = {c: s for c, s in _rules()[0].items() if chr(c) != s}
         made.automaton = ahocorasick.Automaton()
         for k, v in form.items():
             made.automaton.add_word(k, (len(k), v))
         made.automaton.make_automaton()
+        made.heads = {k[0] for k in form}
         _KEPT[key] = made
     return _KEPT[key]
 
@@ -182,8 +197,12 @@ def corpus_forms(*texts: DataFrame) -> Forms:
 
 
 def canonical(df: DataFrame, column: str, out: str, forms: Forms) -> DataFrame:
-    """df with the string column ``out``: the one form of ``column``. Texts of
-    ASCII letters alone never leave the JVM."""
+    """df with the string column ``out``: the one form of ``column``. A column of
+    that name is replaced. Texts of ASCII alone never leave the JVM."""
+    if out != column:
+        df = df.drop(out)
+    else:
+        return canonical(df.withColumnRenamed(column, "__text"), "__text", out, forms).drop("__text")
     odd = F.col(column).rlike(r"[^\x20-\x7e\n]") if forms.plain else F.lit(True)
     schema = df.withColumn(out, F.lit("").cast("string")).schema
     at = df.columns.index(column)
