@@ -34,7 +34,7 @@ def deltas(added: DataFrame | None, deleted: DataFrame | None, buckets: int = BU
     """(bucket, term, document_id, occurrences, blocks), signed."""
     sides = [_postings(df, s) for df, s in ((added, 1), (deleted, -1)) if df is not None]
     rows = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
-    d = rows.groupBy("term", "document_id").agg(F.sum(F.col("sign") * F.col("occ")).alias("occurrences"), F.sum(F.when(F.col("block_id").isNotNull(), F.col("sign")).otherwise(0)).cast("long").alias("blocks"), F.sum("sign").cast("long").alias("postings"))
+    d = rows.groupBy("term", "document_id").agg(F.sum(F.col("sign") * F.col("occ")).alias("occurrences"), F.sum(F.when(F.col("block_id").isNotNull() & F.col("document_id").isNotNull(), F.col("sign")).otherwise(0)).cast("long").alias("blocks"), F.sum("sign").cast("long").alias("postings"))
     return d.filter("occurrences <> 0 or blocks <> 0 or postings <> 0").withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
 
 
