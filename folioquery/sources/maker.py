@@ -35,12 +35,12 @@ def pdf(lines: list[str], size: float = 10.0, compress: bool = True, extra: str
         body = []
         for i, x in enumerate(page):
             raw = x.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
-            body.append(b"BT /F1 %g Tf 1 0 0 1 72 %g Tm (%s) Tj ET" % (size, 740 - i * size * 2.5 % 700, raw))
+            body.append(b"BT /F1 %g Tf 1 0 0 1 72 %g Tm (%s) Tj ET" % (size, 1380 - i * size * 2.5, raw))
         stream = b"\n".join([*body, extra.encode()])
         if compress:
             stream = zlib.compress(stream)
         objects.append(b"<</Length %d%s>>stream\n%s\nendstream" % (len(stream), b"/Filter/FlateDecode" if compress else b"", stream))
-        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 612 792]/Resources<</Font<</F1 3 0 R>>>>/Contents %d 0 R>>" % len(objects))
+        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 612 1400]/Resources<</Font<</F1 3 0 R>>>>/Contents %d 0 R>>" % len(objects))
         kids.append(len(objects))
     objects[1] = b"<</Type/Pages/Kids[%s]/Count %d>>" % (b" ".join(b"%d 0 R" % k for k in kids), len(kids))
     out, at = bytearray(b"%PDF-1.4\n"), []

@@ -287,6 +287,8 @@ class File:
             info = lex.read()
         else:
             stream = self.object_at(at)
+            if not isinstance(stream, Stream):
+                raise ParseError("no cross-reference table")
             info = stream.info
             self.stream_table(stream)
         if not isinstance(info, dict):
