@@ -108,3 +108,25 @@ def test_folder(spark, tmp_path):
     (tmp_path / "sub" / "a.pdf").write_bytes(maker.pdf(["x y"]))
     (tmp_path / "b.txt").write_text("no")
     assert [r["content"] for r in files.parsed(files.files(spark, str(tmp_path))).collect()] == ["x y"]
+
+
+def test_images(spark, rows):
+    import struct
+
+    from folioquery.sources import images
+
+    pdf_data = maker.pdf(["x"]).replace(b"/Font<</F1 3 0 R>>", b"/Font<</F1 3 0 R>>/XObject<</A 90 0 R/B 91 0 R/C 92 0 R>>")
+    raw = bytes([255, 0, 0, 0, 255, 0])
+    extra = b"90 0 obj\n<</Subtype/Image/Width 2/Height 1/BitsPerComponent 8/ColorSpace/DeviceRGB/Length 6>>stream\n" + raw + b"\nendstream\nendobj\n"
+    extra += b"91 0 obj\n<</Subtype/Image/Width 9/Height 1/Filter/DCTDecode/Length 4>>stream\nJPEG\nendstream\nendobj\n"
+    extra += b"92 0 obj\n<</Subtype/Image/Width 8/Height 1/BitsPerComponent 1/ColorSpace/DeviceGray/Length 1>>stream\n\xa0\nendstream\nendobj\n"
+    data = extra.join([pdf_data[:9], pdf_data[9:]]).replace(b"startxref\n", b"startxref\n9")
+    a, b, c = images.of_pdf(data)
+    assert (a["format"], a["width"], b["format"], b["data"]) == ("png", 2, "jpeg", b"JPEG")
+    at = a["data"].index(b"IDAT")
+    size = struct.unpack(">I", a["data"][at - 4 : at])[0]
+    assert zlib.decompress(a["data"][at + 4 : at + 4 + size]) == b"\0" + raw
+    at = c["data"].index(b"IDAT")
+    assert zlib.decompress(c["data"][at + 4 :][: struct.unpack(">I", c["data"][at - 4 : at])[0]]) == bytes([0, 255, 0, 255, 0, 0, 0, 0, 0])
+    f = spark.createDataFrame([("a.pdf", bytearray(data)), ("b.docx", bytearray(maker.docx(["no image"]))), ("c.docx", bytearray(b"bad"))], "path string, content binary")
+    assert rows(images.extracted(f), "path", "format", "error") == [("a.pdf", "jpeg", None), ("a.pdf", "png", None), ("a.pdf", "png", None), ("c.docx", None, "not a ZIP archive")]
