@@ -15,7 +15,8 @@ brackets, markup and white space aside). Else it is cut
   first word, or with that second word after a rare first one, have an end mark),
   unless the document writes its sentences without marks,
 * when its last word is known but never ends a finished line without a mark,
-* when its length lies at the limit of its source: a length with at least eight
+* when its last line is no list item or reference and its length lies at the limit
+  of its source: a length with at least eight
   and six percent of the source's texts just below and less than a fifth of
   that just above.
 
@@ -199,7 +200,7 @@ def judged(documents: DataFrame) -> DataFrame:
         F.when(closing & ~stump, None)
         .when(stump, "word")
         .when(line & sentence & ~F.col("plain"), "sentence")
-        .when(F.col("limit"), "limit")
+        .when(line & F.col("limit"), "limit")
         .when(dangling & (F.col("shape") != "reference"), "phrase")
     )
     found = d.select("doc_id", why.alias("why")).filter("why is not null").unionByName(ends.filter("mark in ('ellipsis', 'broken')").select("doc_id", F.col("mark").alias("why")))
