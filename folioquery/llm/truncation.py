@@ -42,12 +42,14 @@ from pyspark.sql import functions as F
 from folioquery.session import written
 
 BREAK = re.compile(r"\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]|<br\s*/?>|</?(?:p|li|div|ul|ol|tr|td|h[1-6])(?:\s[^<>]*)?>", re.I)
-TAIL = re.compile(r"(?:[\s\u200b\ufeff]|</?\w+[^<>]*>|&nbsp;)+$")
+MARKUP = re.compile(r"</?\w+[^<>]*>$")
+BLANKS = "\u200b\ufeff"
+CLOSERS = "\"'”’»)]"
+END_MARKS = ".!?。！？．؟।:;–—"
 SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]]*\s+")
-DONE = re.compile(r"[.!?。！？．؟।:;–—][\"'”’»)\]*_]*$")
-ELLIPSIS = re.compile(r"(?:\.\.\.|…)[\"'”’»)\]]*$")
 ITEM = re.compile(r"^(?:[-•*·▪◦☐☑☒]|\d{1,3}[.)]|[a-zA-Z][.)])\s+\S")
-REFERENCE = re.compile(r"^(?:--\s|\S[^:]{0,30}:\s)|\w+://\S+$|\S+@\S+$")
+REFERENCE = re.compile(r"--\s|\S[^:]{0,30}:\s")
+ADDRESS = re.compile(r"\w+://\S+$|\S+@\S+$")
 WORD = re.compile(r"[^\W_]+")
 LIMIT = 12  # a word's worth of characters below a limit
 MANY = 3  # different lines before a shared ending
@@ -56,6 +58,28 @@ ENDS = "doc_id long, source string, chars long, bytes long, mark string, tail st
 COUNTS = "kind string, key string, prev long, a long, b long"
 
 
+def stripped(text: str) -> str:
+    """text without white space and markup at its end."""
+    while True:
+        text = text.rstrip().rstrip(BLANKS)
+        if text.endswith("&nbsp;"):
+            text = text[:-6]
+        elif text.endswith(">") and (m := MARKUP.search(text, max(0, text.rfind("<")))):
+            text = text[: m.start()]
+        elif not text[-1:].isspace():
+            return text
+
+
+def done(seg: str) -> bool:
+    """Whether a line ends in an end mark, closing signs aside."""
+    last = seg.rstrip(CLOSERS + "*_")[-1:]
+    return last != "" and last in END_MARKS
+
+
+def elided(seg: str) -> bool:
+    return seg.rstrip(CLOSERS).endswith(("...", "…"))
+
+
 def segments(text: str) -> list[str]:
     """The lines of a text, cut further after sentences."""
     out = []
@@ -69,20 +93,23 @@ def segments(text: str) -> list[str]:
 def _shape(seg: str) -> str:
     if ITEM.match(seg):
         return "item"
-    return "reference" if REFERENCE.search(seg) else "line"
+    if REFERENCE.match(seg):
+        return "reference"
+    last = seg.rsplit(None, 1)[-1]
+    return "reference" if ("://" in last or "@" in last) and ADDRESS.search(last) else "line"
 
 
 def _ending(text: str) -> tuple | None:
     """mark, tail, hash of the line before, first, second and last word, shape,
     and whether the text writes sentences without end marks."""
-    segs = segments(TAIL.sub("", text))
+    segs = segments(stripped(text))
     if not segs:
         return None
     tail = segs[-1]
-    mark = "ellipsis" if ELLIPSIS.search(tail) else "broken" if tail.endswith("�") else "end" if DONE.search(tail) else "open"
+    mark = "ellipsis" if elided(tail) else "broken" if tail.endswith("�") else "end" if done(tail) else "open"
     words = WORD.findall(tail.lower())
     long = [s for s in segs[:-1] if len(s.split()) >= 5 and _shape(s) == "line"]
-    bare = sum(1 for s in long if not DONE.search(s))
+    bare = sum(1 for s in long if not done(s))
     prev = xxhash.xxh64_intdigest(segs[-2].lower() if len(segs) > 1 else "") >> 1
     ends_in_word = bool(words) and tail.lower().rstrip().endswith(words[-1])
     return mark, re.sub(r"\d+", "0", tail.lower())[:200], prev, words[0] if words else None, words[1] if len(words) > 1 else None, words[-1] if ends_in_word else None, _shape(tail), len(long) >= 2 and bare > len(long) / 2
@@ -120,21 +147,21 @@ def counted(documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                segs = segments(TAIL.sub("", text))
+                segs = segments(stripped(text))
                 seen: set[str] = set()
                 for i, s in enumerate(segs):
                     words = WORD.findall(s.lower())
-                    done = bool(DONE.search(s))
-                    final = i == len(segs) - 1 and not done
+                    bare = not done(s)
+                    final = i == len(segs) - 1 and bare
                     seen.update(words[:-1] if final else words)
                     if final or not words:
                         continue
                     shape = _shape(s)
                     if shape == "line":
-                        held["first", words[0]][not done] += 1
+                        held["first", words[0]][bare] += 1
                         if len(words) > 1:
-                            held["second", words[1]][not done] += 1
-                    if not done:
+                            held["second", words[1]][bare] += 1
+                    if bare:
                         held["last", words[-1]][0] += 1
                 for w in seen:
                     held["word", w][0] += 1
