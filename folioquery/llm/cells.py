@@ -5,10 +5,10 @@ A point is a unit vector, kept as ``m`` projections onto Gaussian directions
 (2-stable: the difference of two points' projections is normal with their
 distance as standard deviation). A tree per part splits the projections at
 sample medians, one direction a level; its leaves are the cells. Every point
-lives in one cell. A probe walks the tree and keeps the branches that hold a
-neighbour at distance ``delta`` with at least ``eps`` of the probability mass
-(nearest boxes first is the same as largest mass first), so the number of cells
-it visits follows from the geometry and not from a cap. In a cell the projected
+lives in one cell. A probe visits the cells in order of the probability that
+they hold a neighbour at distance ``delta`` until all the others together hold
+less than ``eps`` of it, at any depth of the tree, so the number of cells it
+visits follows from the geometry and not from a cap. In a cell the projected
 distance decides by the chi-square test: a point farther than
 ``delta**2 * chi2_m(tau)`` is a neighbour with probability below ``1 - tau``.
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STEP = 24.0  # int8 steps per unit of a projection
+PROBES = 2048  # rows a task places at once; each becomes a row per cell it visits
 MATCHED = "a long, b long, cut long"
 ROWS = "part int, leaf long, rb int, qb int, home boolean, query boolean, id long, ord long, after long, proj binary"
 
@@ -53,7 +54,10 @@ def chi2_quantile(p: float, m: int) -> float:
 
 
 def normal_cdf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.7978845608 * (z + 0.044715 * z**3)))
+    """Abramowitz and Stegun's 7.1.26, to seven digits."""
+    t = 1 / (1 + 0.3275911 * 0.7071067812 * np.abs(z))
+    tail = 0.5 * t * np.exp(-0.5 * z * z) * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return np.where(z > 0, 1 - tail, tail)
 
 
 @dataclass
@@ -86,16 +90,38 @@ class Tree:
         return node - (2**self.depth - 1)
 
     def probe(self, x: np.ndarray, delta: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of x and the cells each of them visits."""
-        q = np.arange(len(x))
-        node = np.zeros(len(x), dtype=np.int64)
-        mass = np.ones(len(x))
+        """Rows of x and the cells each of them visits. Of unit vectors at
+        distance delta, with cosine c, the projections of one are normal about c
+        times the other's with variance 1 - c**2; what the cells left out hold of
+        that is less than ``eps`` in all."""
+        c = 1 - delta * delta / 2
+        mean, sd = x[:, : self.depth] * c[:, None], np.sqrt(1 - c * c)
+        rest, least, out_q, out_leaf = np.arange(len(x)), eps / 8, [], []
+        while len(rest):
+            q, leaf, mass = self._walk(mean[rest], sd[rest], least)
+            enough = np.bincount(q, mass, minlength=len(rest)) >= 1 - eps
+            enough |= least * 2**self.depth <= eps  # all that was dropped is less than eps
+            keep = enough[q]
+            q, leaf, mass = q[keep], leaf[keep], mass[keep]
+            order = np.lexsort((-mass, q))
+            q, leaf, mass = q[order], leaf[order], mass[order]
+            before, n = np.cumsum(mass) - mass, np.bincount(q, minlength=len(rest))
+            keep = before - np.repeat(before[(np.cumsum(n) - n)[n > 0]], n[n > 0]) < 1 - eps
+            out_q.append(rest[q[keep]])
+            out_leaf.append(leaf[keep])
+            rest, least = rest[~enough], least / 8
+        return np.concatenate(out_q or [rest]), np.concatenate(out_leaf or [rest])
+
+    def _walk(self, mean: np.ndarray, sd: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, the leaves with at least ``least`` of their mass, and that."""
+        q = np.arange(len(mean))
+        node, mass = np.zeros(len(mean), dtype=np.int64), np.ones(len(mean))
         for level in range(self.depth):
-            right = normal_cdf((x[q, level] - self.split[node]) / delta[q]) * mass
-            left = mass - right
-            r, lf = right >= eps, left >= eps
+            left = normal_cdf((self.split[node] - mean[q, level]) / sd[q]) * mass
+            right = mass - left
+            r, lf = right >= least, left >= least
             q, node, mass = np.concatenate([q[lf], q[r]]), np.concatenate([2 * node[lf] + 1, 2 * node[r] + 2]), np.concatenate([left[lf], right[r]])
-        return q, node - (2**self.depth - 1)
+        return q, node - (2**self.depth - 1), mass
 
 
 @dataclass
@@ -163,7 +189,7 @@ def spread(points: DataFrame, cells: Cells, delta: float, eps: float, offsets: t
 
     def place(reside: bool, ask: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
+            for f in (f.iloc[i : i + PROBES] for f in frames for i in range(0, len(f), PROBES)):
                 x, ids, out = matrix(f["proj"], m), f["id"].to_numpy(), []
                 for p in f["part"].unique():
                     own = np.flatnonzero((f["part"] == p).to_numpy())
