@@ -100,7 +100,7 @@ def _shape(seg: str) -> str:
 
 
 def _ending(text: str) -> tuple | None:
-    """mark, tail, hash of the line before, first, second and last word, shape,
+    """mark, digest of the tail, hash of the line before, first, second and last word, shape,
     and whether the text writes sentences without end marks."""
     segs = segments(stripped(text))
     if not segs:
@@ -112,7 +112,7 @@ def _ending(text: str) -> tuple | None:
     bare = sum(1 for s in long if not done(s))
     prev = xxhash.xxh64_intdigest(segs[-2].lower() if len(segs) > 1 else "") >> 1
     ends_in_word = bool(words) and tail.lower().rstrip().endswith(words[-1])
-    return mark, re.sub(r"\d+", "0", tail.lower())[:200], prev, words[0] if words else None, words[1] if len(words) > 1 else None, words[-1] if ends_in_word else None, _shape(tail), len(long) >= 2 and bare > len(long) / 2
+    return mark, xxhash.xxh3_128_hexdigest(re.sub(r"\d+", "0", tail.lower()).encode("utf-8", "replace")), prev, words[0] if words else None, words[1] if len(words) > 1 else None, words[-1] if ends_in_word else None, _shape(tail), len(long) >= 2 and bare > len(long) / 2
 
 
 def endings(documents: DataFrame) -> DataFrame:
