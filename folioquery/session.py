@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioquery.errors import StoreError
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a data folder."""
@@ -16,20 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and all executors are threads of this machine, as in tests, a temporary
+    folder takes its place; on any other master it is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise StoreError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="folioquery-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/folioquery/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet, for this driver only: it
+    is deleted when the driver's Python ends; ``sweep`` removes what a killed
+    driver left."""
+    if not _mine:
+        atexit.register(_forget)
+    _mine.append(f"{shared_dir(spark)}/folioquery/{label}-{uuid.uuid4().hex}")
+    return _mine[-1]
+
+
+_mine: list[str] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -41,20 +57,101 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _forget() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _mine if spark else ():
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001 the JVM may be gone
+            return
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def sweep(spark: SparkSession, hours: float = 48.0) -> list[str]:
+    """Delete what this package left in the shared folder and nothing changed for
+    ``hours``. States that are kept between runs belong elsewhere. Returns the
+    folders deleted."""
+    top = f"{shared_dir(spark)}/folioquery"
+    if not path_exists(spark, top):
+        return []
+    fs, p = _fs(spark, top)
+    oldest = (time.time() - hours * 3600) * 1000
+    gone = [str(s.getPath()) for s in fs.listStatus(p) if s.getModificationTime() < oldest]
+    for path in gone:
+        delete(spark, path)
+    return gone
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+class Commits:
+    """Numbered markers under a folder; the last is the state of what the folder
+    holds. A marker is written beside its place and moved there, so readers see
+    whole markers only, and files that no marker names do not exist for them: a
+    run that fails before its marker has changed nothing. Two runs that both
+    follow the same marker collide, and the second raises."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _numbers(self) -> list[int]:
+        at = f"{self.path}/commits"
+        if not path_exists(self.spark, at):
+            return []
+        fs, p = _fs(self.spark, at)
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def last(self) -> dict:
+        """The state, {} before the first commit."""
+        n = self._numbers()
+        if not n:
+            return {}
+        fs, p = _fs(self.spark, f"{self.path}/commits/{n[-1]}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"commit": n[-1]}
+        finally:
+            stream.close()
+
+    def add(self, state: dict, after: dict) -> dict:
+        """Make ``state`` follow ``after``, a state read before."""
+        n = after.get("commit", 0) + 1
+        fs, beside = _fs(self.spark, f"{self.path}/commits/.{n}-{uuid.uuid4().hex}")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{n}.json")
+        stream = fs.create(beside, True)
+        stream.write(json.dumps({k: v for k, v in state.items() if k != "commit"}).encode())
+        stream.close()
+        if fs.exists(place) or not fs.rename(beside, place):
+            fs.delete(beside, False)
+            raise StoreError(f"another run has committed {place}")
+        for old in self._numbers():
+            if old < n - 1:
+                delete(self.spark, f"{self.path}/commits/{old}.json")
+        return state | {"commit": n}
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, unless they find it
     by themselves (same machine, or installed)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_folioquery_shipped", False):
+    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_folioquery_shipped", False):
         return
     import shutil
     from pathlib import Path
