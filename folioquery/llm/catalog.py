@@ -15,12 +15,18 @@ def p1_found(spark, d):
 
 def p1_ranking(spark, d):
     r = rankfusion.ranking(table(spark, d, "search_hits"), table(spark, d, "search_queries"), table(spark, d, "content_blocks"))
-    return r.select("query_id", "document_id", "block_id", "keyword_rank", "vector_rank", F.round("rrf", 10).alias("rrf"))
+    return r.select("query_id", "document_id", "block_id", "keyword_rank", "vector_rank", F.round("rrf", 10).alias("rrf"), "position")
 
 
 def _counts(spark, d):
+    """Two deliveries: of an eighth of the documents the first brings half of the
+    blocks only; the second takes those back and brings these documents whole."""
+    t = table(spark, d, "search_terms")
+    late = F.pmod(F.xxhash64("document_id"), F.lit(8)) == 0
+    half = F.pmod(F.xxhash64("block_id"), F.lit(2)) == 0
     counts = termstats.TermCounts(spark, new_path(spark, "p2"))
-    counts.apply(added=table(spark, d, "search_terms"))
+    counts.apply("first", added=t.filter(~late | half))
+    counts.apply("second", added=t.filter(late), deleted=t.filter(late & half))
     return counts
 
 

@@ -30,10 +30,12 @@ with {HITS},
 sizes as (select query_id, count(*) filter (branch = 'keyword') as nk, count(*) filter (branch = 'vector') as nv from alive group by 1),
 q as (select query_id, min_by(keyword_weight, asked_at) as a, min_by(vector_weight, asked_at) as b from search_queries where query_id is not null group by 1),
 w as (select query_id, case when a between 0 and 1 and not isnan(a) then a else 0.5e0 end as a, case when b between 0 and 1 and not isnan(b) then b else 0.5e0 end as b from q),
-v as (select query_id, case when a + b > 0 then a / (a + b) else 0.5e0 end as wk, case when a + b > 0 then b / (a + b) else 0.5e0 end as wv from w)
-select query_id, document_id, block_id, keyword_rank, vector_rank,
-  round(coalesce(wk, 0.5e0) / (60 + coalesce(keyword_rank, nk + 1)) + coalesce(wv, 0.5e0) / (60 + coalesce(vector_rank, nv + 1)), 10) as rrf
-from items join sizes using (query_id) left join v using (query_id)""",
+v as (select query_id, case when a + b > 0 then a / (a + b) else 0.5e0 end as wk, case when a + b > 0 then b / (a + b) else 0.5e0 end as wv from w),
+f as (
+  select query_id, document_id, block_id, keyword_rank, vector_rank,
+    round(coalesce(wk, 0.5e0) / (60 + coalesce(keyword_rank, nk + 1)) + coalesce(wv, 0.5e0) / (60 + coalesce(vector_rank, nv + 1)), 12) as s
+  from items join sizes using (query_id) left join v using (query_id))
+select query_id, document_id, block_id, keyword_rank, vector_rank, round(s, 10) as rrf, rank() over (partition by query_id order by s desc) as position from f""",
     "p2_found": """
 with t as (select term, count(distinct document_id) as n from search_terms where term is not null and term <> '' group by 1),
 d as (select count(distinct document_id) as n from search_terms where term is not null and term <> '')

@@ -10,8 +10,8 @@ whose keys are null, is left out. Equal scores have equal rank (one more than
 the number of strictly higher ones). An item missing from a list has there the
 rank after the last. A weight that is null, NaN, infinite, negative or above 1
 becomes one half; the two are then scaled to sum to 1 (two zeros to one half
-each). Hits of a query without a row in search_queries count with halves. Equal
-sums are ordered by document_id, then block_id. Empty tables give no rows.
+each). Hits of a query without a row in search_queries count with halves. Items
+with equal sums share a position. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -82,13 +82,16 @@ def fused(hits: DataFrame, queries: DataFrame, blocks: DataFrame, k: int = K) ->
 
 
 def ranking(hits: DataFrame, queries: DataFrame, blocks: DataFrame, k: int = K) -> DataFrame:
-    """fused() with ``position``: 1 for the best block of its query. Equal sums
-    have equal positions."""
-    f = written(fused(hits, queries, blocks, k), "p1-fused")
+    """fused() with ``position``: 1 for the best block of its query, in order of
+    the sums to 12 places. Equal sums have equal positions."""
+    f = written(fused(hits, queries, blocks, k).withColumn("rrf", F.round("rrf", 12)), "p1-fused")
     at = group_ranks(f.select("query_id", "rrf"), ["query_id"], "rrf").select("query_id", "rrf", F.col("rank").alias("position"))
     return f.join(at, ["query_id", "rrf"])
 
 
-def found(hits: DataFrame, queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, document_id, block_id) among the best two of both lists."""
-    return fused(hits, queries, blocks).filter("keyword_rank <= 2 and vector_rank <= 2").select("query_id", "document_id", "block_id")
+def found(hits: DataFrame, queries: DataFrame, blocks: DataFrame, best: int = 2) -> DataFrame:
+    """(query_id, document_id, block_id) among the ``best`` of both lists: the
+    weights sum to 1, so the fused sum of such a block is at least that of rank
+    ``best`` in a single list. What has that sum is then checked by its ranks."""
+    near = fused(hits, queries, blocks).filter(F.col("rrf") >= 1 / (K + best) - 1e-12)
+    return near.filter((F.col("keyword_rank") <= best) & (F.col("vector_rank") <= best)).select("query_id", "document_id", "block_id")
