@@ -48,12 +48,12 @@ def new_path(spark: SparkSession, label: str) -> str:
 _mine: list[str] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its
-    lineage: a lost executor costs no recomputation beyond the reader's own."""
+    lineage: a lost executor costs no recomputation beyond the reader's own. ``by``: a column to partition by."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
