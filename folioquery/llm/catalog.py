@@ -38,8 +38,11 @@ def p2_terms(spark, d):
     return termstats.verdicts(_counts(spark, d))
 
 
+SIZES = {"quill-embed-96": 96, "quill-embed-64": 64}  # what the problem states of the two models
+
+
 def p3_found(spark, d):
-    return neighbours.similar_pairs(table(spark, d, "vectors"))
+    return neighbours.similar_pairs(table(spark, d, "vectors"), models=SIZES)
 
 
 def p4_found(spark, d):
@@ -65,6 +68,11 @@ def p7_found(spark, d):
     return batchdedup.found(table(spark, d, "documents"))
 
 
+def p7_methods(spark, d):
+    """Every copy with how it was recognised."""
+    return batchdedup.methods(table(spark, d, "documents"))
+
+
 def p8_ids(spark, d):
     return bpe.encoded(table(spark, d, "documents"))
 

@@ -3,14 +3,15 @@ and the duplicate search.
 
 A point is a unit vector, kept as ``m`` projections onto Gaussian directions
 (2-stable: the difference of two points' projections is normal with their
-distance as standard deviation). A tree per part splits the projections at
-sample medians, one direction a level; its leaves are the cells. Every point
-lives in one cell. A probe visits the cells in order of the probability that
-they hold a neighbour at distance ``delta`` until all the others together hold
-less than ``eps`` of it, at any depth of the tree, so the number of cells it
-visits follows from the geometry and not from a cap. In a cell the projected
-distance decides by the chi-square test: a point farther than
-``delta**2 * chi2_m(tau)`` is a neighbour with probability below ``1 - tau``.
+distance as standard deviation), rounded to steps of 1/24. A tree per part splits
+them at sample medians, one direction a level; its leaves are the cells. Every
+point lives in one cell. A probe visits the cells in order of the probability
+that they hold a neighbour at distance ``reach`` until all the others together
+hold less than ``eps`` of it, whatever the shape of the tree, so the number of
+cells it visits follows from the geometry and not from a cap.
+
+Distances between projections are sums of squared steps, whole numbers that are
+exact in single precision.
 
 Cells over ``block`` points are split into blocks, and their probes likewise, so
 that no task has more than one block of each.
@@ -19,18 +20,21 @@ that no task has more than one block of each.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = 24.0  # int8 steps per unit of a projection
 PROBES = 2048  # rows a task places at once; each becomes a row per cell it visits
+SHIFT = 40  # a cell's number is its part and its node
+BLOCKS = 1 << 15
+NEVER = -(2**62)
 MATCHED = "a long, b long, cut long"
-ROWS = "part int, leaf long, rb int, qb int, home boolean, query boolean, id long, ord long, after long, proj binary"
+ROWS = "cell long, blk int, asks boolean, id long, after long, most long, proj binary"
 
 
 def directions(dim: int, m: int, seed: int = 11) -> np.ndarray:
@@ -43,7 +47,8 @@ def quantise(x: np.ndarray) -> list[bytes]:
 
 
 def matrix(col, m: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col), dtype=np.int8).reshape(-1, m).astype(np.float32) / np.float32(STEP)
+    """In steps."""
+    return np.frombuffer(b"".join(col), dtype=np.int8).reshape(-1, m).astype(np.float32)
 
 
 def chi2_quantile(p: float, m: int) -> float:
@@ -53,6 +58,18 @@ def chi2_quantile(p: float, m: int) -> float:
     return m * (1 - 2 / (9 * m) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * m))) ** 3
 
 
+def rounding(m: int) -> float:
+    """The most, at 99 %, that rounding adds to a squared distance in steps: m
+    times 1/6, and 2.33 deviations."""
+    return m / 6 + 2.33 * math.sqrt(m * 7 / 180)
+
+
+def most_steps(distance2: float, m: int, tau: float) -> int:
+    """The squared steps that two points at a squared distance exceed with a
+    probability of at most 1 - tau: the chi-square test on projections."""
+    return math.ceil(distance2 * STEP**2 * chi2_quantile(tau, m) + rounding(m))
+
+
 def normal_cdf(z: np.ndarray) -> np.ndarray:
     """Abramowitz and Stegun's 7.1.26, to seven digits."""
     t = 1 / (1 + 0.3275911 * 0.7071067812 * np.abs(z))
@@ -62,45 +79,68 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Splits in heap order; level ``l`` splits direction ``l``."""
-
-    depth: int
-    split: np.ndarray
-
-    @classmethod
-    def fit(cls, sample: np.ndarray, depth: int) -> Tree:
-        split = np.zeros(2**depth - 1, dtype=np.float32)
-        node = np.zeros(len(sample), dtype=np.int64)
+    """Inner nodes in heap order from 1, sorted, and where they split; level
+    ``l`` splits direction ``l`` (again from the first after the last). Every
+    other child of an inner node is a leaf."""
+
+    nodes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    split: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def grown(self, sample: np.ndarray, depth: int, root: int = 1) -> Tree:
+        """With ``depth`` more levels below a leaf, at medians of the sample. A
+        node whose rows do not differ in its direction is split all the same;
+        one side stays empty."""
+        level0 = root.bit_length() - 1
+        node = np.full(len(sample), root, np.int64)
+        nodes, split = [], []
         for level in range(depth):
+            first = root << level
             order = np.argsort(node, kind="stable")
-            first = 2**level - 1
-            bounds = np.searchsorted(node[order], np.arange(first, 2 * first + 2))
-            for i in range(first + 1):
+            bounds = np.searchsorted(node[order], np.arange(first, first + 2**level + 1))
+            col = sample[:, (level0 + level) % sample.shape[1]]
+            cut = np.zeros(2**level, np.float32)
+            for i in range(2**level):
                 rows = order[bounds[i] : bounds[i + 1]]
                 if len(rows):
-                    split[first + i] = np.median(sample[rows, level])
-            if len(sample):
-                node = 2 * node + 1 + (sample[:, level] > split[node])
-        return cls(depth, split)
+                    cut[i] = np.median(col[rows])
+            nodes.append(first + np.arange(2**level))
+            split.append(cut)
+            node = 2 * node + (col > cut[node - first])
+        every = np.concatenate([self.nodes, *nodes]).astype(np.int64)
+        values = np.concatenate([self.split, *split]).astype(np.float32)
+        order = np.argsort(every)
+        return Tree(every[order], values[order])
+
+    def _inner(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.nodes, node), max(0, len(self.nodes) - 1))
+        return at, self.nodes[at] == node if len(self.nodes) else np.zeros(len(node), bool)
+
+    def leaves(self) -> list[int]:
+        inner = set(self.nodes.tolist())
+        return [c for n in inner for c in (2 * n, 2 * n + 1) if c not in inner] or [1]
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=np.int64)
-        for level in range(self.depth):
-            node = 2 * node + 1 + (x[:, level] > self.split[node])
-        return node - (2**self.depth - 1)
-
-    def probe(self, x: np.ndarray, delta: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of x and the cells each of them visits. Of unit vectors at
-        distance delta, with cosine c, the projections of one are normal about c
-        times the other's with variance 1 - c**2; what the cells left out hold of
-        that is less than ``eps`` in all."""
-        c = 1 - delta * delta / 2
-        mean, sd = x[:, : self.depth] * c[:, None], np.sqrt(1 - c * c)
+        node = np.ones(len(x), dtype=np.int64)
+        at, level = np.arange(len(x)), 0
+        while len(at):
+            pos, inner = self._inner(node[at])
+            at, pos = at[inner], pos[inner]
+            node[at] = 2 * node[at] + (x[at, level % x.shape[1]] > self.split[pos])
+            level += 1
+        return node
+
+    def probe(self, x: np.ndarray, reach: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and the cells each of them visits. Of unit vectors at a
+        distance, with cosine c, the projections of one are normal about c times
+        the other's with variance 1 - c**2 (beyond a right angle, as of unrelated
+        ones); what the cells left out hold of that is less than ``eps`` in all."""
+        c = np.maximum(1 - reach * reach / 2, 0.0)
+        mean, sd = x * c[:, None], np.maximum(np.sqrt(1 - c * c), 1e-3) * STEP
         rest, least, out_q, out_leaf = np.arange(len(x)), eps / 8, [], []
         while len(rest):
             q, leaf, mass = self._walk(mean[rest], sd[rest], least)
             enough = np.bincount(q, mass, minlength=len(rest)) >= 1 - eps
-            enough |= least * 2**self.depth <= eps  # all that was dropped is less than eps
+            enough |= least * (len(self.nodes) + 1) <= eps  # all that was dropped is less than eps
             keep = enough[q]
             q, leaf, mass = q[keep], leaf[keep], mass[keep]
             order = np.lexsort((-mass, q))
@@ -115,201 +155,206 @@ class Tree:
     def _walk(self, mean: np.ndarray, sd: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, the leaves with at least ``least`` of their mass, and that."""
         q = np.arange(len(mean))
-        node, mass = np.zeros(len(mean), dtype=np.int64), np.ones(len(mean))
-        for level in range(self.depth):
-            left = normal_cdf((self.split[node] - mean[q, level]) / sd[q]) * mass
+        node, mass, level, out = np.ones(len(mean), dtype=np.int64), np.ones(len(mean)), 0, []
+        while len(q):
+            pos, inner = self._inner(node)
+            out.append((q[~inner], node[~inner], mass[~inner]))
+            q, node, mass, pos = q[inner], node[inner], mass[inner], pos[inner]
+            left = normal_cdf((self.split[pos] - mean[q, level % mean.shape[1]]) / sd[q]) * mass
             right = mass - left
             r, lf = right >= least, left >= least
-            q, node, mass = np.concatenate([q[lf], q[r]]), np.concatenate([2 * node[lf] + 1, 2 * node[r] + 2]), np.concatenate([left[lf], right[r]])
-        return q, node - (2**self.depth - 1), mass
+            q, node, mass = np.concatenate([q[lf], q[r]]), np.concatenate([2 * node[lf], 2 * node[r] + 1]), np.concatenate([left[lf], right[r]])
+            level += 1
+        return tuple(np.concatenate(c) for c in zip(*out))
 
 
 @dataclass
 class Cells:
-    """One tree per part, the cells' sizes, and how many blocks each has."""
+    """One tree per part, and of the cells over a block's size into how many
+    blocks their points and probes are split."""
 
     m: int
     trees: dict[int, Tree]
-    blocks: dict[tuple[int, int], int]
-    block: int
+    grid: dict[int, tuple[int, int]] = field(default_factory=dict)
+
 
-    def blocks_of(self, part: int, leaf: int) -> int:
-        return self.blocks.get((part, leaf), 1)
+def number(part: int, node):
+    return (part << SHIFT) + node
 
 
-def fit(points: DataFrame, m: int, leaf_size: int = 8192, sample_rows: int = 100_000, block: int = 16_384) -> Cells:
-    """Fit the trees on at most about ``sample_rows`` points (the only bounded
-    sample; all points are placed), then count every cell.
+def grown(trees: dict[int, Tree], points: DataFrame, m: int, leaf_size: int, sample_rows: int = 100_000) -> dict[int, Tree]:
+    """trees with one for every part of points that has none, fitted on at most
+    about ``sample_rows`` of the new parts' points (the only bounded sample; all
+    points are placed). What reaches the driver is the sample and a count per part.
 
-    points: part int, id long, ord long, proj binary. What reaches the driver is
-    the sample, a count per part, and the cells of more than ``block`` points.
-    """
-    counts = {r["part"]: r["n"] for r in points.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    trees = {p: Tree(0, np.zeros(0, dtype=np.float32)) for p in counts}
-    deep = [p for p, n in counts.items() if n > leaf_size]
+    points: part int, proj binary"""
+    counts = {r["part"]: r["n"] for r in points.groupBy("part").agg(F.count("*").alias("n")).collect() if r["part"] not in trees}
+    out = trees | {p: Tree() for p in counts}
+    deep = {p: math.ceil(math.log2(n / leaf_size)) for p, n in counts.items() if n > leaf_size}
     if deep:
-        share = min(1.0, sample_rows / max(1, total))
-        sample = points.filter(F.col("part").isin(deep)).select("part", "proj").sample(share, seed=7).toPandas()
-        for p in deep:
-            rows = matrix(sample.loc[sample["part"] == p, "proj"], m)
-            depth = min(m, max(0, math.ceil(math.log2(counts[p] / leaf_size))))
-            trees[p] = Tree.fit(rows, depth)
-    cells = Cells(m, trees, {}, block)
-    if total > block:
-
-        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                x, out = matrix(f["proj"], m), np.zeros(len(f), dtype=np.int64)
-                for p in f["part"].unique():
-                    at = (f["part"] == p).to_numpy()
-                    out[at] = trees[p].leaf(x[at])
-                yield pd.DataFrame({"part": f["part"], "leaf": out})
-
-        big = points.select("part", "proj").mapInPandas(place, "part int, leaf long").groupBy("part", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > block).collect()
-        cells.blocks = {(r["part"], r["leaf"]): math.ceil(r["n"] / block) for r in big}
+        share = min(1.0, sample_rows / sum(counts[p] for p in deep))
+        sample = points.filter(F.col("part").isin(list(deep))).select("part", "proj").sample(share, seed=7).toPandas()
+        for p, depth in deep.items():
+            out[p] = Tree().grown(matrix(sample.loc[sample["part"] == p, "proj"], m), depth)
+    return out
+
+
+def placed(points: DataFrame, trees: dict[int, Tree], m: int) -> DataFrame:
+    """points (part int, proj binary and others) with their ``cell``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x, out = matrix(f["proj"], m), np.zeros(len(f), dtype=np.int64)
+            for p in f["part"].unique():
+                at = (f["part"] == p).to_numpy()
+                out[at] = number(int(p), trees[p].leaf(x[at]))
+            yield f.assign(cell=out)
+
+    return points.mapInPandas(run, f"{', '.join(f'{c.name} {c.dataType.simpleString()}' for c in points.schema)}, cell long")
+
+
+def grid_of(sizes: dict[int, int], asks: dict[int, int] | None, block: int) -> dict[int, tuple[int, int]]:
+    """Of cells over ``block`` points the blocks of points and of probes."""
+    return {c: (math.ceil(n / block), math.ceil((n if asks is None else asks.get(c, 1)) / block)) for c, n in sizes.items() if n > block}
+
+
+def fitted(points: DataFrame, m: int, leaf_size: int, block: int = 16_384) -> Cells:
+    """Cells for points that are all there; cells over ``block`` are counted."""
+    cells = Cells(m, grown({}, points, m, leaf_size))
+    if points.count() > block:
+        big = placed(points.select("part", "proj"), cells.trees, m).groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+        cells.grid = grid_of({r["cell"]: r["n"] for r in big.collect()}, None, block)
     return cells
 
 
-def spread(points: DataFrame, cells: Cells, delta: float, eps: float, offsets: tuple[int, ...] = (0,), queries: DataFrame | None = None) -> DataFrame:
-    """Rows for every (cell, block of points, block of probes).
-
-    ``offsets``: the parts, relative to its own, that a point probes.
-    ``queries``: points with a column ``after``; given, only these probe.
-    """
-    trees, blocks, m = cells.trees, cells.blocks, cells.m
-    alone = queries is None
-
-    def cut(ids: np.ndarray, n: int) -> np.ndarray:
-        return ((ids * 2654435761) >> 7) % n
-
-    def rows(part, leaf, rb, qb, f, at, home, query):
-        k = len(at)
-        return pd.DataFrame({"part": np.full(k, part, np.int32), "leaf": leaf, "rb": rb, "qb": qb, "home": np.full(k, home), "query": np.full(k, query), "id": f["id"].to_numpy()[at], "ord": f["ord"].to_numpy()[at], "after": f["after"].to_numpy()[at], "proj": f["proj"].to_numpy()[at]})
-
-    def place(reside: bool, ask: bool):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in (f.iloc[i : i + PROBES] for f in frames for i in range(0, len(f), PROBES)):
-                x, ids, out = matrix(f["proj"], m), f["id"].to_numpy(), []
-                for p in f["part"].unique():
-                    own = np.flatnonzero((f["part"] == p).to_numpy())
-                    home = trees[p].leaf(x[own]) if p in trees else np.zeros(len(own), np.int64)
-                    many = {leaf: n for (q, leaf), n in blocks.items() if q == p}
-                    n = np.array([many.get(v, 1) for v in home]) if many else np.ones(len(home), np.int64)
-                    one = n == 1
-                    if reside:
-                        out.append(rows(p, home[one], 0, 0, f, own[one], True, ask))
-                        for i in np.flatnonzero(~one):
-                            k, b = n[i], cut(ids[own[i]], n[i])
-                            out.append(rows(p, home[i], b, np.arange(k), f, np.repeat(own[i], k), True, False))
-                    if not ask:
+def _cut(ids: np.ndarray, n) -> np.ndarray:
+    return ((ids * 2654435761) >> 7) % n
+
+
+def residents(rows: DataFrame, grid: dict[int, tuple[int, int]]) -> DataFrame:
+    """ROWS of points (cell, id, proj) that are only looked at: one for every
+    block of probes."""
+    null = F.lit(0).cast("long")
+    if grid:
+        table = rows.sparkSession.createDataFrame([(c, r, q) for c, (r, q) in grid.items()], "cell long, rb int, qb int")
+        rb = F.pmod(F.xxhash64("id"), F.col("rb"))
+        blk: Column = F.explode(F.when(F.col("rb").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda q: rb * BLOCKS + q)))
+        rows = rows.join(table, "cell", "left").select("cell", blk.alias("blk"), "id", "proj")
+    else:
+        rows = rows.select("cell", F.lit(0).alias("blk"), "id", "proj")
+    return rows.select("cell", F.col("blk").cast("int").alias("blk"), F.lit(False).alias("asks"), "id", null.alias("after"), null.alias("most"), "proj")
+
+
+def probes(queries: DataFrame, cells: Cells, eps: float, offsets: tuple[int, ...] = (0,), also_home: bool = True, only_home: bool = False) -> DataFrame:
+    """ROWS of queries (part int, id long, proj binary, after long, most long,
+    reach double) for every cell they visit, in the parts at ``offsets`` from
+    their own, and for each block of its points. Their own cell is among them
+    whatever its mass. ``also_home`` false leaves it out where it has no blocks."""
+    trees, grid, m = cells.trees, cells.grid, cells.m
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in (f.iloc[i : i + PROBES] for f in frames for i in range(0, len(f), PROBES)):
+            x, ids, reach, parts, out_q, out_c = matrix(f["proj"], m), f["id"].to_numpy(), f["reach"].to_numpy(), f["part"].to_numpy(), [], []
+            for p in np.unique(parts):
+                own = np.flatnonzero(parts == p)
+                for o in offsets:
+                    t = int(p) + o
+                    if t not in trees:
                         continue
-                    for o in offsets:
-                        t = p + o
-                        if t not in trees:
-                            continue
-                        q, leaf = trees[t].probe(x[own], np.full(len(own), delta), eps)
-                        if o == 0:  # its own cell is never missed; unblocked, the row above probes it
-                            keep = leaf != home[q]
-                            q, leaf = q[keep], leaf[keep]
-                            rest = np.arange(len(own)) if not reside else np.flatnonzero(~one)
-                            q, leaf = np.concatenate([q, rest]), np.concatenate([leaf, home[rest]])
-                        large = {v: k for (y, v), k in blocks.items() if y == t}
-                        k = np.array([large.get(v, 1) for v in leaf], dtype=np.int64) if large else np.ones(len(leaf), np.int64)
-                        rep = np.repeat(np.arange(len(q)), k)
-                        rb = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
-                        out.append(rows(t, leaf[rep], rb, cut(ids[own[q[rep]]], k[rep]), f, own[q[rep]], False, True))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
-
-        return run
-
-    cols = ["part", "id", "ord", "after", "proj"]
-    base = points.withColumn("after", F.lit(None).cast("long")).select(cols)
-    base = base.fillna({"after": -(2**62)})
-    if alone:
-        return base.mapInPandas(place(True, True), ROWS)
-    return base.mapInPandas(place(True, False), ROWS).unionByName(queries.select(cols).mapInPandas(place(False, True), ROWS))
-
-
-def hits(q: np.ndarray, r: np.ndarray, limit: float, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of rows whose squared distance is at most limit, by chunks of q."""
+                    q, leaf = (own[:0], own[:0]) if only_home else trees[t].probe(x[own], reach[own], eps)
+                    c = number(t, leaf)
+                    if o == 0:
+                        home = number(t, trees[t].leaf(x[own]))
+                        keep = c != home[q]
+                        rest = np.arange(len(own)) if also_home else np.flatnonzero(np.isin(home, list(grid)))
+                        q, c = np.concatenate([q[keep], rest]), np.concatenate([c[keep], home[rest]])
+                    out_q.append(own[q])
+                    out_c.append(c)
+            if not out_q:
+                continue
+            q, c = np.concatenate(out_q), np.concatenate(out_c)
+            blk = np.zeros(len(q), np.int64)
+            if grid and (big := np.isin(c, list(grid))).any():
+                kr, kq = (np.array([grid.get(v, (1, 1))[i] for v in c.tolist()]) for i in (0, 1))
+                rep = np.repeat(np.arange(len(q)), kr)
+                rb = np.arange(len(rep)) - np.repeat(np.cumsum(kr) - kr, kr)
+                blk = np.where(big[rep], rb * BLOCKS + _cut(ids[q[rep]], kq[rep]), 0)
+                q, c = q[rep], c[rep]
+            yield pd.DataFrame({"cell": c, "blk": blk.astype(np.int32), "asks": True, "id": ids[q], "after": f["after"].to_numpy()[q], "most": f["most"].to_numpy()[q], "proj": f["proj"].to_numpy()[q]})
+
+    return queries.select("part", "id", "proj", "after", "most", "reach").mapInPandas(run, ROWS)
+
+
+def hits(q: np.ndarray, r: np.ndarray, most: np.ndarray, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows with at most so many squared steps between them, by chunks
+    of q, and those steps."""
     rn = np.einsum("ij,ij->i", r, r)
     right = np.concatenate([r, -0.5 * rn[:, None]], axis=1).T.copy()
     for i in range(0, len(q), chunk):
         x = q[i : i + chunk]
         qn = np.einsum("ij,ij->i", x, x)
         s = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1) @ right
-        low = 0.5 * (qn - limit)
-        a, b = np.nonzero(s >= low[:, None])
-        yield a + i, b, qn[a] - 2 * s[a, b]
-
+        a, b = np.nonzero(s >= (0.5 * (qn - most[i : i + chunk]))[:, None].astype(np.float32))
+        yield a + i, b, np.rint(qn[a] - 2 * s[a, b]).astype(np.int64)
 
-def neighbours(rows: DataFrame, m: int, limit: float, k: int, ratio: float) -> DataFrame:
-    """Candidate pairs (a < b) for the k nearest. A probe that has k points in a
-    cell stops where the chi-square test says so: beyond ``ratio`` times its
-    k-th projected distance in that cell, to which the most that rounding takes
-    from or adds to it is added, nothing nearer than those is left."""
-    # squared differences of two rounding errors: m times 1/6, and 2.33 deviations, in squared steps
-    rounding = (m / 6 + 2.33 * math.sqrt(m * 7 / 180)) / STEP**2
 
-    def match(f: pd.DataFrame) -> pd.DataFrame:
-        x, ids, home, query = matrix(f["proj"], m), f["id"].to_numpy(), f["home"].to_numpy(), f["query"].to_numpy()
-        qi, ri = np.flatnonzero(query), np.flatnonzero(home)
-        out_a, out_b = [], []
-        for a, b, d in hits(x[qi], x[ri], limit):
-            ia, ib = ids[qi[a]], ids[ri[b]]
-            keep = ia != ib
-            a, ia, ib, d = a[keep], ia[keep], ib[keep], d[keep]
-            if not len(a):
-                continue
-            n = np.bincount(a)
-            if (n > 2 * k).any():
-                order = np.lexsort((d, a))
-                a, ia, ib, d = a[order], ia[order], ib[order], d[order]
-                start = np.cumsum(np.bincount(a, minlength=len(n))) - n
-                kth = np.full(len(n), np.inf)
-                full = np.flatnonzero(n > k)
-                kth[full] = np.maximum(d[start[full] + k - 1], 0) + rounding
-                keep = d <= ratio * kth[a]
-                ia, ib = ia[keep], ib[keep]
-            out_a.append(np.minimum(ia, ib))
-            out_b.append(np.maximum(ia, ib))
-        if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    return rows.groupBy("part", "leaf", "rb", "qb").applyInPandas(match, "a long, b long")
-
-
-def earlier(rows: DataFrame, m: int, limit: float, keep: int) -> DataFrame:
-    """For each probe, of the points of a cell within the limit and before it in
-    ``ord`` (and after ``after``), the first ``keep``. Where there are more, a
-    row with b null has in ``cut`` the last ``ord`` given, from which the next
-    round goes on."""
+def _grouped(rows: DataFrame, m: int, pick: Callable) -> DataFrame:
+    """Call ``pick`` for the hits of the probes of each cell and block. It has the
+    probes' and points' ids, the pairs' places, their steps, and ``after``; it gives
+    (which pairs, which of them end a list that goes on, the marks of these)."""
 
     def match(f: pd.DataFrame) -> pd.DataFrame:
-        home = f["home"].to_numpy()
-        r = f[home].sort_values("ord")
-        q = f[f["query"].to_numpy()]
-        rx, qx = matrix(r["proj"], m), matrix(q["proj"], m)
-        rid, rord = r["id"].to_numpy(), r["ord"].to_numpy()
-        qid, qord, qafter = q["id"].to_numpy(), q["ord"].to_numpy(), q["after"].to_numpy()
-        out, marks = [], []
+        asks = f["asks"].to_numpy()
+        r, q = f[~asks].sort_values("id"), f[asks]
+        pairs, cuts = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         if len(r) and len(q):
-            for a, b, _ in hits(qx, rx, limit):
-                ok = (rord[b] < qord[a]) & (rord[b] > qafter[a])
-                a, b = a[ok], b[ok]
-                if not len(a):
-                    continue
-                n = np.bincount(a, minlength=a[-1] + 1)
-                at = np.arange(len(a)) - (np.cumsum(n) - n)[a]
-                out.append(np.stack([qid[a[at < keep]], rid[b[at < keep]]], axis=1))
-                last = (at == keep - 1) & (n[a] > keep)
-                marks.append(np.stack([qid[a[last]], rord[b[last]]], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        cuts = np.concatenate(marks) if marks else np.zeros((0, 2), np.int64)
-        return pd.concat([pd.DataFrame({"a": pairs[:, 0], "b": pd.array(pairs[:, 1], "Int64"), "cut": pd.array([None] * len(pairs), "Int64")}), pd.DataFrame({"a": cuts[:, 0], "b": pd.array([None] * len(cuts), "Int64"), "cut": pd.array(cuts[:, 1], "Int64")})], ignore_index=True)
-
-    return rows.groupBy("part", "leaf", "rb", "qb").applyInPandas(match, MATCHED)
+            rid, qid, after = r["id"].to_numpy(), q["id"].to_numpy(), q["after"].to_numpy()
+            for a, b, d in hits(matrix(q["proj"], m), matrix(r["proj"], m), q["most"].to_numpy()):
+                for found, marks in pick(qid, rid, after, a, b, d):
+                    pairs.append(found)
+                    cuts.append(marks)
+        p, c = np.concatenate(pairs), np.concatenate(cuts)
+        none = lambda n: pd.array([None] * n, "Int64")
+        return pd.concat([pd.DataFrame({"a": p[:, 0], "b": pd.array(p[:, 1], "Int64"), "cut": none(len(p))}), pd.DataFrame({"a": c[:, 0], "b": none(len(c)), "cut": pd.array(c[:, 1], "Int64")})], ignore_index=True)
+
+    return rows.groupBy("cell", "blk").applyInPandas(match, MATCHED)
+
+
+def _nth(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted a, each entry's place among its equals and their number."""
+    n = np.bincount(a, minlength=a[-1] + 1)
+    return np.arange(len(a)) - (np.cumsum(n) - n)[a], n[a]
+
+
+def nearest(rows: DataFrame, m: int, keep: int) -> DataFrame:
+    """For each probe, of the points of a cell that are not nearer than ``after``
+    (in squared steps, as ``most``), the ``keep`` nearest. Where there are more, a
+    row with b null has in ``cut`` the steps of the next."""
+
+    def pick(qid, rid, after, a, b, d):
+        ok = (qid[a] != rid[b]) & (d >= after[a])
+        a, b, d = a[ok], b[ok], d[ok]
+        if len(a):
+            order = np.lexsort((d, a))
+            a, b, d = a[order], b[order], d[order]
+            at, _ = _nth(a)
+            last = at == keep
+            yield np.stack([qid[a[at < keep]], rid[b[at < keep]]], axis=1), np.stack([qid[a[last]], d[last]], axis=1)
+
+    return _grouped(rows, m, pick)
+
+
+def earlier(rows: DataFrame, m: int, keep: int) -> DataFrame:
+    """For each probe, of the points of a cell with a smaller id (and one after
+    ``after``), the first ``keep``. Where there are more, a row with b null has in
+    ``cut`` the last id given, from which the next round goes on."""
+
+    def pick(qid, rid, after, a, b, d):
+        ok = (rid[b] < qid[a]) & (rid[b] > after[a])
+        a, b = a[ok], b[ok]
+        if len(a):
+            at, n = _nth(a)
+            last = (at == keep - 1) & (n > keep)
+            yield np.stack([qid[a[at < keep]], rid[b[at < keep]]], axis=1), np.stack([qid[a[last]], rid[b[last]]], axis=1)
+
+    return _grouped(rows, m, pick)

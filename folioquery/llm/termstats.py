@@ -35,24 +35,19 @@ NUMBERS = ("occurrences", "documents", "blocks", "postings")
 SCHEMA = "term string, occurrences long, documents long, blocks long, postings long, bucket int, delta string"
 
 
-def usable(terms: DataFrame) -> DataFrame:
-    """(term, document_id, block_id, occ) of the rows that count, spread by term
-    and document: that one shuffle serves all counting within a document."""
+def usable(terms: DataFrame, *more: str) -> DataFrame:
+    """(term, document_id, block_id, more, occ) of the rows that count, spread by
+    term and document: that one shuffle serves all counting within a document."""
     occ = F.when(F.col("positions").isNull(), F.lit(0)).otherwise(F.size("positions"))
-    t = terms.filter("term is not null and term <> ''").select("term", "document_id", "block_id", occ.alias("occ"))
-    return t.repartition("term", "document_id").groupBy("term", "document_id", "block_id").agg(F.max("occ").alias("occ"))
+    t = terms.filter("term is not null and term <> ''").select("term", "document_id", "block_id", *more, occ.alias("occ"))
+    return t.repartition("term", "document_id").groupBy("term", "document_id", "block_id", *more).agg(F.max("occ").alias("occ"))
 
 
-def _counted(terms: DataFrame, sign: int) -> DataFrame:
-    """A side of a change set per term, and in a row without a term the number of
-    its documents."""
-    block = F.when(F.col("document_id").isNotNull(), F.col("block_id"))
-    pairs = usable(terms).groupBy("term", "document_id").agg(F.sum("occ").alias("occ"), F.count(block).alias("blocks"), F.count("*").alias("postings"))
-    per = pairs.groupBy("term").agg(F.sum("occ").alias("occurrences"), F.count("document_id").alias("documents"), F.sum("blocks").alias("blocks"), F.sum("postings").alias("postings"))
-    docs = terms.filter("term is not null and term <> '' and document_id is not null").select("document_id").distinct().agg(F.count("*").alias("documents"))
-    none = [F.lit(0).cast("long").alias(c) for c in NUMBERS if c != "documents"]
-    rows = per.unionByName(docs.select(F.lit(None).cast("string").alias("term"), "documents", *none))
-    return rows.select("term", *[(F.lit(sign) * F.col(c)).alias(c) for c in NUMBERS])
+def _signed(added: DataFrame | None, deleted: DataFrame | None) -> DataFrame:
+    """The postings of both sides with their ``sign``."""
+    cols = ["term", "document_id", "block_id", "positions"]
+    sides = [df.select(*cols, F.lit(s).alias("sign")) for df, s in ((added, 1), (deleted, -1)) if df is not None]
+    return sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
 
 
 def _summed(rows: DataFrame, *keys: str) -> DataFrame:
@@ -64,8 +59,15 @@ def _summed(rows: DataFrame, *keys: str) -> DataFrame:
 def deltas(added: DataFrame | None, deleted: DataFrame | None) -> DataFrame:
     """(term, occurrences, documents, blocks, postings), signed. The row without
     a term has the change of the number of documents."""
-    sides = [_counted(df, s) for df, s in ((added, 1), (deleted, -1)) if df is not None]
-    return sides[0] if len(sides) == 1 else _summed(sides[0].unionByName(sides[1]))
+    rows = _signed(added, deleted)
+    block = F.when(F.col("document_id").isNotNull() & F.col("block_id").isNotNull(), F.col("sign")).otherwise(0)
+    pairs = usable(rows, "sign").groupBy("term", "document_id", "sign").agg(F.sum(F.col("sign") * F.col("occ")).alias("occ"), F.sum(block).alias("blocks"), F.sum("sign").alias("postings"))
+    doc = F.when(F.col("document_id").isNotNull(), F.col("sign")).otherwise(0)
+    per = pairs.groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum(doc).alias("documents"), F.sum("blocks").alias("blocks"), F.sum("postings").alias("postings"))
+    docs = rows.filter("term is not null and term <> '' and document_id is not null").select("document_id", "sign").distinct().agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("documents"))
+    none = [F.lit(0).cast("long").alias(c) for c in NUMBERS if c != "documents"]
+    every = per.unionByName(docs.select(F.lit(None).cast("string").alias("term"), "documents", *none))
+    return every.filter(" or ".join(f"{c} <> 0" for c in NUMBERS))
 
 
 def changed_documents(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
