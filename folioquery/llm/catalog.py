@@ -85,6 +85,10 @@ def p10_found(spark, d):
     return truncation.found(table(spark, d, "documents"))
 
 
+def p10_why(spark, d):
+    return truncation.reasons(table(spark, d, "documents"))
+
+
 def p10_rates(spark, d):
     return truncation.rates(table(spark, d, "documents"))
 

@@ -1,24 +1,28 @@
 """Problem 10: texts cut off by a field limit or a broken transfer.
 
-Method: a corpus vocabulary trie and evidence of length. One pass counts over
-all documents the words inside texts (the last word of an unfinished text is not
-counted), how lines begin and end, and how long texts are. The trie is a table
-of all prefixes of the known words, with the number of documents below each
-node, so it grows with the vocabulary in a distributed table and not in a task.
+Method: a corpus vocabulary trie, combined with evidence of length. One pass over
+all documents counts the words inside texts (the last word of an unfinished text
+is not counted), which of them end finished lines without a mark, how lines begin
+and end, and how long texts are. The trie is a table of all prefixes of the known
+words, with the number of documents below each node, so it grows with the
+vocabulary in a distributed table and not in a task.
 
 A text ends well when its last sentence has an end mark (closing quotes,
-brackets, markup and white space aside). Else it is cut
-
-* when it ends in an ellipsis or a broken character,
-* when its last word is unknown and a proper prefix of known words,
-* when its last line begins as sentences of this corpus do (most lines with that
-  first word, or with that second word after a rare first one, have an end mark),
-  unless the document writes its sentences without marks,
-* when its last word is known but never ends a finished line without a mark,
-* when its last line is no list item or reference and its length lies at the limit
-  of its source: a length with at least eight
-  and six percent of the source's texts just below and less than a fifth of
-  that just above.
+brackets, markup and white space aside); three points or a broken character are
+none. An unfinished text is cut
+
+* ``word``: when its last word is a proper prefix of known words and not known
+  itself, or hardly (in under 1 % of the documents below it, and its length or its
+  line speak against it too),
+* ``limit``: when its last line is no list item or reference and its length lies at
+  a limit of its source: a length just below which many more unfinished texts end
+  than below and above that,
+* ``phrase``: when its last word is known, and in the trie's counts hardly ever ends
+  a finished line without a mark,
+* ``sentence``: when its last line begins as sentences of this corpus do (most lines
+  with that first word, or with that second word after a rare first one, have an
+  end mark), unless the document writes its sentences without marks,
+* ``ellipsis``, ``broken``: when it ends in three points or a broken character.
 
 Endings that many documents share after different lines (closings, signatures)
 are meant so, and so are list items, references, addresses and headings, unless
@@ -54,8 +58,10 @@ WORD = re.compile(r"[^\W_]+")
 LIMIT = 12  # a word's worth of characters below a limit
 MANY = 3  # different lines before a shared ending
 MOST = 200_000  # counts a task holds before it hands them on
+DEEP = 64  # words up to this length have all their prefixes in the trie
 ENDS = "doc_id long, source string, chars long, bytes long, mark string, tail string, prev long, w1 string, w2 string, last string, shape string, plain boolean"
-COUNTS = "kind string, key string, prev long, a long, b long"
+COUNTS = "kind string, key string, a long, b long"
+PARSED = f"{ENDS}, {COUNTS}"
 
 
 def stripped(text: str) -> str:
@@ -80,6 +86,11 @@ def elided(seg: str) -> bool:
     return seg.rstrip(CLOSERS).endswith(("...", "…"))
 
 
+def mark_of(seg: str) -> str:
+    """How a last line ends: 'end' is well."""
+    return "ellipsis" if elided(seg) else "broken" if seg.endswith("\ufffd") else "end" if done(seg) else "open"
+
+
 def segments(text: str) -> list[str]:
     """The lines of a text, cut further after sentences."""
     out = []
@@ -99,96 +110,113 @@ def _shape(seg: str) -> str:
     return "reference" if ("://" in last or "@" in last) and ADDRESS.search(last) else "line"
 
 
-def _ending(text: str) -> tuple | None:
+def _ending(segs: list[str]) -> tuple:
     """mark, digest of the tail, hash of the line before, first, second and last word, shape,
     and whether the text writes sentences without end marks."""
-    segs = segments(stripped(text))
-    if not segs:
-        return None
     tail = segs[-1]
-    mark = "ellipsis" if elided(tail) else "broken" if tail.endswith("�") else "end" if done(tail) else "open"
-    words = WORD.findall(tail.lower())
+    mark = mark_of(tail)
+    bare = tail.lower().rstrip()
+    if mark != "open":  # the last word is what stands before the sign
+        bare = bare.rstrip(CLOSERS).rstrip(".…\ufffd")
+    words = WORD.findall(bare)
     long = [s for s in segs[:-1] if len(s.split()) >= 5 and _shape(s) == "line"]
-    bare = sum(1 for s in long if not done(s))
+    open_ = sum(1 for s in long if not done(s))
     prev = xxhash.xxh64_intdigest(segs[-2].lower() if len(segs) > 1 else "") >> 1
-    ends_in_word = bool(words) and tail.lower().rstrip().endswith(words[-1])
-    return mark, xxhash.xxh3_128_hexdigest(re.sub(r"\d+", "0", tail.lower()).encode("utf-8", "replace")), prev, words[0] if words else None, words[1] if len(words) > 1 else None, words[-1] if ends_in_word else None, _shape(tail), len(long) >= 2 and bare > len(long) / 2
-
-
-def endings(documents: DataFrame) -> DataFrame:
-    """ENDS of every document whose text has any ink."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("mark", pa.string()), ("tail", pa.string()), ("prev", pa.int64()), ("w1", pa.string()), ("w2", pa.string()), ("last", pa.string()), ("shape", pa.string()), ("plain", pa.bool_())])
-        for b in batches:
-            rows = []
-            for doc, source, text in zip(*(c.to_pylist() for c in b.columns)):
-                e = _ending(text)
-                if e:
-                    rows.append((doc, source, len(text), len(text.encode("utf-8", "replace")), *e))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    return documents.filter("text is not null").select("doc_id", "source", "text").mapInArrow(run, ENDS)
-
-
-def counted(documents: DataFrame) -> DataFrame:
-    """COUNTS, summed within tasks as far as they go and then over all. kind
-    word: a = documents with the word inside; first, second: a = lines with that
-    word there and an end mark, b = without; last: a = lines without a mark that
-    end in it."""
+    ends_in_word = mark != "end" and bool(words) and bare.endswith(words[-1])
+    digest = xxhash.xxh3_128_hexdigest(re.sub(r"\d+", "0", tail.lower()).encode("utf-8", "replace"))
+    return mark, digest, prev, words[0] if words else None, words[1] if len(words) > 1 else None, words[-1] if ends_in_word else None, _shape(tail), len(long) >= 2 and open_ > len(long) / 2
+
+
+def _count(segs: list[str], held: dict[tuple[str, str], list[int]]) -> None:
+    seen: set[str] = set()
+    for i, s in enumerate(segs):
+        words = WORD.findall(s.lower())
+        final = i == len(segs) - 1 and mark_of(s) != "end"
+        bare = not done(s)
+        seen.update(words[:-1] if final else words)
+        if final or not words:
+            continue
+        if _shape(s) == "line":
+            held["first", words[0]][bare] += 1
+            if len(words) > 1:
+                held["second", words[1]][bare] += 1
+        if bare:
+            held["last", words[-1]][0] += 1
+    for w in seen:
+        held["word", w][0] += 1
+
+
+def parsed(documents: DataFrame) -> DataFrame:
+    """PARSED: the ENDS of every document whose text has any ink, and COUNTS of
+    the words, in one pass. Counts are summed within tasks as far as they go.
+    kind word: a = documents with the word inside; first, second: a = lines with
+    that word there and an end mark, b = without; last: a = lines without a mark
+    that end in it. Rows of the one sort have nulls in the columns of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big, text = pa.int64(), pa.string()
+        ends = [big, text, big, big, text, text, big, text, text, text, text, pa.bool_()]
+        counts = [text, text, big, big]
+        names = [c.split()[0] for c in PARSED.split(", ")]
         held: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
 
+        def batch(rows: list[tuple], of: list, before: list, after: list) -> pa.RecordBatch:
+            none = lambda types: [pa.nulls(len(rows), t) for t in types]
+            return pa.RecordBatch.from_arrays([*none(before), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(of)), *none(after)], names=names)
+
         def flush() -> pa.RecordBatch:
-            items = list(held.items())
+            rows = [(*k, *v) for k, v in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.string()), pa.array([v[0] for _, v in items], pa.int64()), pa.array([v[1] for _, v in items], pa.int64())], names=["kind", "key", "a", "b"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                segs = segments(stripped(text))
-                seen: set[str] = set()
-                for i, s in enumerate(segs):
-                    words = WORD.findall(s.lower())
-                    bare = not done(s)
-                    final = i == len(segs) - 1 and bare
-                    seen.update(words[:-1] if final else words)
-                    if final or not words:
-                        continue
-                    shape = _shape(s)
-                    if shape == "line":
-                        held["first", words[0]][bare] += 1
-                        if len(words) > 1:
-                            held["second", words[1]][bare] += 1
-                    if bare:
-                        held["last", words[-1]][0] += 1
-                for w in seen:
-                    held["word", w][0] += 1
-                if len(held) > MOST:
-                    yield flush()
+            return batch(rows, counts, ends, [])
+
+        for b in batches:
+            rows = []
+            for doc, source, content in zip(*(c.to_pylist() for c in b.columns)):
+                segs = segments(stripped(content))
+                if segs:
+                    rows.append((doc, source, len(content), len(content.encode("utf-8", "replace")), *_ending(segs)))
+                    _count(segs, held)
+            yield batch(rows, ends, [], counts)
+            if len(held) > MOST:
+                yield flush()
         yield flush()
 
-    parts = documents.filter("text is not null").select("text").mapInArrow(run, "kind string, key string, a long, b long")
-    return parts.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return documents.filter("text is not null").select("doc_id", "source", "text").mapInArrow(run, PARSED)
 
 
 def trie(words: DataFrame, least: int = 2) -> DataFrame:
-    """(node, below): every proper prefix of a word in at least ``least``
-    documents, and how many documents have words below it."""
+    """(node, below): every proper prefix, of up to DEEP characters, of a word in
+    at least ``least`` documents, and how many documents have words below it."""
     known = words.filter(F.col("a") >= least).filter(F.length("key") > 1)
-    node = F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda n: F.substring("key", F.lit(1), n)))
+    deep = F.least(F.length("key") - 1, F.lit(DEEP))
+    node = F.explode(F.transform(F.sequence(F.lit(1), deep), lambda n: F.substring("key", F.lit(1), n)))
     return known.select(node.alias("node"), "a").groupBy("node").agg(F.sum("a").alias("below"))
 
 
-def limits(ends: DataFrame, least: int = 8, share: float = 0.06) -> DataFrame:
-    """(source, unit, size): lengths at which a source's texts pile up."""
-    sizes = ends.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x")).select("source", "x.*")
+def deeper(words: DataFrame, asked: DataFrame, least: int = 2) -> DataFrame:
+    """(node, below) of the asked nodes over DEEP characters: they meet the words
+    that begin with the same DEEP ones."""
+    top = lambda c: F.substring(c, 1, DEEP)
+    long = words.filter((F.col("a") >= least) & (F.length("key") > DEEP + 1)).select("key", "a", top("key").alias("top"))
+    nodes = asked.filter(F.length("node") > DEEP).select("node").distinct().withColumn("top", top("node"))
+    below = nodes.join(long, "top").filter(F.col("key").startswith(F.col("node")) & (F.col("key") != F.col("node")))
+    return below.groupBy("node").agg(F.sum("a").alias("below"))
+
+
+def limits(ends: DataFrame, least: int = 8, sure: float = 6.0) -> DataFrame:
+    """(source, unit, size): lengths just below which a source's unfinished texts
+    pile up: at least ``least`` within a word's worth, and more by ``sure``
+    deviations than in the same space above or, on average, below. Texts that end
+    alike count once, so copies make no limit."""
+    unit = lambda u: F.struct(F.lit(u).alias("unit"), F.col(u).alias("size"))
+    sizes = ends.filter("mark <> 'end' and shape = 'line'").select("source", "tail", F.explode(F.array(unit("chars"), unit("bytes"))).alias("x")).select("source", "tail", "x.*").distinct()
     n = sizes.groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source", "unit")
-    by = w.orderBy("size")
-    n = n.withColumn("at", F.sum("n").over(by.rangeBetween(-LIMIT, 0))).withColumn("above", F.coalesce(F.sum("n").over(by.rangeBetween(1, LIMIT + 1)), F.lit(0))).withColumn("all", F.sum("n").over(w))
-    ok = (F.col("at") >= F.greatest(F.lit(least), F.col("all") * share)) & (F.col("above") * 5 < F.col("at")) & (F.col("size") > 3 * LIMIT)
+    # one row per length that a source has: few, however many its texts
+    by = Window.partitionBy("source", "unit").orderBy("size")
+    over = lambda a, b: F.coalesce(F.sum("n").over(by.rangeBetween(a, b)), F.lit(0))
+    n = n.withColumns({"at": over(-LIMIT, 0), "above": over(1, LIMIT + 1), "under": over(-4 * LIMIT - 4, -LIMIT - 1) / 3})
+    base = F.greatest("above", "under")
+    ok = (F.col("at") >= least) & (F.col("at") - base >= sure * F.sqrt(base + 1)) & (F.col("size") > 3 * LIMIT)
     # the last of neighbouring sizes
     n = n.filter(ok).withColumn("next", F.lead("size").over(by))
     return n.filter(F.col("next").isNull() | (F.col("next") > F.col("size") + LIMIT)).select("source", "unit", "size")
@@ -196,42 +224,52 @@ def limits(ends: DataFrame, least: int = 8, share: float = 0.06) -> DataFrame:
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut, why) of every document."""
-    ends = written(endings(documents), "p10-ends")
-    counts = written(counted(documents), "p10-counts")
-    of = lambda kind, key, **cols: counts.filter(F.col("kind") == kind).select(F.col("key").alias(key), *[F.col(c).alias(n) for n, c in cols.items()])
-    open_ends = ends.filter("mark = 'open'")
+    both = written(parsed(documents), "p10-parsed")
+    ends = both.filter("doc_id is not null").select(*[c.split()[0] for c in ENDS.split(", ")])
+    counts = written(both.filter("kind is not null").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "p10-counts")
+    unfinished = ends.filter("mark <> 'end'")
 
-    shared = open_ends.select("tail", "prev").distinct().groupBy("tail").agg(F.count("*").alias("lines"))
+    shared = unfinished.filter("mark = 'open'").select("tail", "prev").distinct().groupBy("tail").agg(F.count("*").alias("lines"))
     lim = limits(ends)
-    at = open_ends.select("doc_id", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len")))).alias("x")).select("doc_id", "source", "x.*").alias("x")
+    unit = lambda u: F.struct(F.lit(u).alias("unit"), F.col(u).alias("len"))
+    at = unfinished.select("doc_id", "source", F.explode(F.array(unit("chars"), unit("bytes"))).alias("x")).select("doc_id", "source", "x.*").alias("x")
     # few limits per source; the band join runs within a source and unit
     near = at.join(lim.alias("l"), F.col("x.source").eqNullSafe(F.col("l.source")) & (F.col("x.unit") == F.col("l.unit")) & F.col("len").between(F.col("size") - LIMIT, F.col("size"))).select("doc_id").distinct().withColumn("limit", F.lit(True))
 
-    d = open_ends.join(shared, "tail", "left").join(near, "doc_id", "left")
-    d = d.join(of("first", "w1", first_done="a", first_open="b"), "w1", "left").join(of("second", "w2", second_done="a", second_open="b"), "w2", "left")
-    d = d.join(of("last", "last", finals="a"), "last", "left").join(of("word", "last", docs="a"), "last", "left")
-    d = d.join(trie(counts.filter("kind = 'word'")).withColumnRenamed("node", "last"), "last", "left")
+    # every count that an end asks for, in one join
+    asks = unfinished.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in (("first", "w1"), ("second", "w2"), ("last", "last"), ("word", "last"), ("node", "last"))])).alias("x")).select("doc_id", "x.*").filter("key is not null").distinct()
+    words = counts.filter("kind = 'word'")
+    nodes = trie(words).unionByName(deeper(words, asks.filter("kind = 'node'").select(F.col("key").alias("node"))))
+    known = counts.unionByName(nodes.select(F.lit("node").alias("kind"), F.col("node").alias("key"), F.col("below").alias("a"), F.lit(0).cast("long").alias("b")))
+    of = lambda kind, c, name: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).alias(name)
+    facts = asks.join(known, ["kind", "key"]).groupBy("doc_id").agg(of("first", "a", "first_done"), of("first", "b", "first_open"), of("second", "a", "second_done"), of("second", "b", "second_open"), of("last", "a", "finals"), of("word", "a", "docs"), of("node", "a", "below"))
+
+    d = unfinished.join(shared, "tail", "left").join(near, "doc_id", "left").join(facts, "doc_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
 
     def rate(done: str, bare: str) -> Column:
         n = zero(done) + zero(bare)
         return F.when(n >= 5, zero(done) / n)
 
-    by_first = rate("first_done", "first_open")
-    sentence = F.coalesce(by_first, rate("second_done", "second_open"), F.lit(0.0)) >= 0.6
-    stump = F.col("last").isNotNull() & (zero("docs") == 0) & (zero("below") > 0)
-    dangling = F.col("last").isNotNull() & (zero("docs") >= 5) & (zero("finals") == 0)
+    sentence = F.coalesce(rate("first_done", "first_open"), rate("second_done", "second_open"), F.lit(0.0)) >= 0.6
     line = F.col("shape") == "line"
-    closing = (zero("lines") >= MANY) & ~(line & sentence)
+    limit = F.coalesce("limit", F.lit(False))
+    ends_in = F.col("last").isNotNull() & (zero("below") > 0)
+    unknown = ends_in & (zero("docs") == 0)
+    hardly = ends_in & (zero("docs") * 100 < zero("below"))
+    stump = unknown | (hardly & (limit | (line & sentence)))
+    dangling = F.col("last").isNotNull() & (zero("docs") >= 5) & (zero("finals") * 500 <= zero("docs"))
+    closing = (F.col("mark") == "open") & (zero("lines") >= MANY) & ~(line & sentence)
     why = (
         F.when(closing & ~stump, None)
         .when(stump, "word")
-        .when(line & sentence & ~F.col("plain"), "sentence")
-        .when(line & F.col("limit"), "limit")
+        .when(line & limit, "limit")
         .when(dangling & (F.col("shape") != "reference"), "phrase")
+        .when(line & sentence & ~F.col("plain"), "sentence")
+        .when(F.col("mark") != "open", F.col("mark"))
     )
-    found = d.select("doc_id", why.alias("why")).filter("why is not null").unionByName(ends.filter("mark in ('ellipsis', 'broken')").select("doc_id", F.col("mark").alias("why")))
-    found = found.groupBy("doc_id").agg(F.min("why").alias("why"))
+    # repeated rows are judged alike; of rows that differ the strongest reason counts
+    found = d.select("doc_id", why.alias("why")).filter("why is not null").groupBy("doc_id").agg(F.max("why").alias("why"))
     return documents.select("doc_id", "source").join(found, "doc_id", "left").select("doc_id", "source", F.col("why").isNotNull().alias("cut"), "why")
 
 
@@ -240,6 +278,11 @@ def found(documents: DataFrame) -> DataFrame:
     return judged(documents).filter("cut").select("doc_id").distinct()
 
 
+def reasons(documents: DataFrame) -> DataFrame:
+    """(doc_id, why) of the documents that were cut."""
+    return judged(documents).filter("cut").select("doc_id", "why").distinct()
+
+
 def rates(documents: DataFrame) -> DataFrame:
     """(source, documents, cut, rate): how often each source truncates."""
     g = judged(documents).groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("cut").cast("long")).alias("cut"))

@@ -53,6 +53,8 @@ def test_accuracy(judged):
 def test_edges(judged, rows):
     df, got, _ = judged
     assert not any(got[i] for i in (900, 901, 902, 904)) and got[903]
+    why = dict(rows(T.reasons(df)))
+    assert set(why) == {i for i, cut in got.items() if cut} and set(why.values()) <= {"word", "limit", "phrase", "sentence", "ellipsis", "broken"}
     found = rows(T.found(df))
     assert len(found) == len(set(found))
     by = {r["source"]: r for r in T.rates(df).collect()}
@@ -64,8 +66,20 @@ def test_empty(spark, rows):
     assert rows(T.rates(spark.createDataFrame([], S))) == []
 
 
-def test_trie_and_limits(spark, rows):
-    words = spark.createDataFrame([("cat", 3), ("cart", 2), ("dog", 1)], "key string, a long")
-    assert dict(rows(T.trie(words))) == {"c": 5, "ca": 5, "car": 2}
-    ends = spark.createDataFrame([("s", 100, 100)] * 10 + [("s", i * 7, i * 7) for i in range(2, 11)] + [("t", i, i) for i in range(50, 60)], "source string, chars long, bytes long")
-    assert rows(T.limits(ends).filter("source = 's'")) == [("s", "bytes", 100), ("s", "chars", 100)]
+def test_trie(spark, rows):
+    long = "a" * 70
+    words = spark.createDataFrame([("cat", 3), ("cart", 2), ("dog", 1), (long + "b", 4), (long + "c" * 200_000, 2), ("a" * 66, 9)], "key string, a long")
+    got = dict(rows(T.trie(words)))
+    assert {k: v for k, v in got.items() if k[0] == "c"} == {"c": 5, "ca": 5, "car": 2}
+    assert got["a"] == got["a" * 64] == 15 and max(map(len, got)) == 64
+    asked = spark.createDataFrame([(long,), ("a" * 66,), (long + "b",), ("a" * 69 + "x",), ("c",), (long + "cc",)], "node string")
+    assert dict(rows(T.deeper(words, asked))) == {long: 6, "a" * 66: 6, long + "cc": 2}
+
+
+def test_limits(spark, rows):
+    tails = lambda n: [(f"t{i}",) for i in range(n)]
+    data = [("s", 100, 100, "open", "line", t) for (t,) in tails(14)] + [("s", i * 7, i * 7, "open", "line", f"u{i}") for i in range(2, 11)]
+    data += [("copies", 100, 100, "open", "line", "same")] * 50 + [("done", 100, 100, "end", "line", t) for (t,) in tails(50)] + [("many", 60 + i % 200, 60 + i % 200, "open", "line", f"w{i}") for i in range(6000)]
+    data += [("rare", 60 + i % 200, 60 + i % 200, "end", "line", f"w{i}") for i in range(6000)] + [("rare", 200, 200, "open", "line", t) for (t,) in tails(12)]  # under 1 % of a source
+    ends = spark.createDataFrame(data, "source string, chars long, bytes long, mark string, shape string, tail string")
+    assert rows(T.limits(ends)) == [(s, u, n) for s, n in (("rare", 200), ("s", 100)) for u in ("bytes", "chars")]
