@@ -123,21 +123,31 @@ class Commits:
         n = self._numbers()
         if not n:
             return {}
-        fs, p = _fs(self.spark, f"{self.path}/commits/{n[-1]}.json")
+        return self.get(f"commits/{n[-1]}.json") | {"commit": n[-1]}
+
+    def get(self, name: str) -> dict:
+        """The small file of that name."""
+        fs, p = _fs(self.spark, f"{self.path}/{name}")
         stream = fs.open(p)
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"commit": n[-1]}
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def put(self, name: str, what: dict) -> None:
+        """A small file beside the tables, which counts once a marker names it."""
+        fs, p = _fs(self.spark, f"{self.path}/{name}")
+        stream = fs.create(p, True)
+        stream.write(json.dumps(what).encode())
+        stream.close()
+
     def add(self, state: dict, after: dict) -> dict:
         """Make ``state`` follow ``after``, a state read before."""
         n = after.get("commit", 0) + 1
-        fs, beside = _fs(self.spark, f"{self.path}/commits/.{n}-{uuid.uuid4().hex}")
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{n}.json")
-        stream = fs.create(beside, True)
-        stream.write(json.dumps({k: v for k, v in state.items() if k != "commit"}).encode())
-        stream.close()
+        name = f"commits/.{n}-{uuid.uuid4().hex}"
+        self.put(name, {k: v for k, v in state.items() if k != "commit"})
+        fs, beside = _fs(self.spark, f"{self.path}/{name}")
+        _, place = _fs(self.spark, f"{self.path}/commits/{n}.json")
         if fs.exists(place) or not fs.rename(beside, place):
             fs.delete(beside, False)
             raise StoreError(f"another run has committed {place}")
