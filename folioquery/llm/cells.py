@@ -182,13 +182,15 @@ def number(part: int, node):
     return (part << SHIFT) + node
 
 
-def grown(trees: dict[int, Tree], points: DataFrame, m: int, leaf_size: int, sample_rows: int = 100_000) -> dict[int, Tree]:
+def grown(trees: dict[int, Tree], points: DataFrame, m: int, leaf_size: int, sample_rows: int = 100_000, counts: dict[int, int] | None = None) -> dict[int, Tree]:
     """trees with one for every part of points that has none, fitted on at most
     about ``sample_rows`` of the new parts' points (the only bounded sample; all
     points are placed). What reaches the driver is the sample and a count per part.
 
-    points: part int, proj binary"""
-    counts = {r["part"]: r["n"] for r in points.groupBy("part").agg(F.count("*").alias("n")).collect() if r["part"] not in trees}
+    points: part int, proj binary; ``counts``: of points per part, if known"""
+    if counts is None:
+        counts = {r["part"]: r["n"] for r in points.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    counts = {p: n for p, n in counts.items() if p not in trees}
     out = trees | {p: Tree() for p in counts}
     deep = {p: math.ceil(math.log2(n / leaf_size)) for p, n in counts.items() if n > leaf_size}
     if deep:

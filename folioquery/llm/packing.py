@@ -3,7 +3,7 @@
 Method: lexical retrieval packing. Documents are spread over shards of about
 4 096 by the hash of their id. Each shard has a BM25 inverted index over token
 ids. The longest unused document seeds a container; its unused neighbours by
-BM25 fill it in order while they fit; what room is left then takes the longest
+BM25 fill it in order as long as any fits; what room is left then takes the longest
 unused documents that still fit. Shards hold equally many documents whatever
 their content, so none is hot.
 
@@ -105,14 +105,12 @@ def pack(sizes: np.ndarray, texts: list[np.ndarray], capacity: int) -> list[list
             s = index.scores(seed)
             near = np.flatnonzero(free & (sizes <= room) & (s > 0))
             near = near[np.argsort(-s[near], kind="stable")]
-            last = max(capacity // 8, order[len(order) // 2])
-            for i in near:
-                if room <= last:
-                    break
-                if sizes[i] <= room:
-                    take(int(i))
-                    box.append(int(i))
-                    room -= int(sizes[i])
+            while len(near):
+                i = int(near[0])
+                take(i)
+                box.append(i)
+                room -= int(sizes[i])
+                near = near[1:][sizes[near[1:]] <= room]
             while order and order[0] <= room:
                 i = by_size[bisect.bisect_right(order, room) - 1]
                 take(i)
