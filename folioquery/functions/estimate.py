@@ -11,8 +11,16 @@ _PUNCT = regex.compile(r"\p{P}")
 _DIGIT = regex.compile(r"\p{Nd}")
 
 
+def parts(text: str) -> tuple[int, int, int, int]:
+    """Bytes, white space, punctuation marks and digits; they add up over parts
+    of a text."""
+    return len(text.encode("utf-8", "replace")), len(_SPACE.findall(text)), len(_PUNCT.findall(text)), len(_DIGIT.findall(text))
+
+
+def of_parts(n: tuple[int, int, int, int]) -> int:
+    raw = n[0] / 4 - 0.125 * n[1] + 0.3 * n[2] - 0.05 * n[3]
+    return 0 if not n[0] else 1 if raw < 1 else math.floor(raw + 0.5)
+
+
 def estimate(text: str) -> int:
-    if not text:
-        return 0
-    raw = len(text.encode("utf-8", "replace")) / 4 - 0.125 * len(_SPACE.findall(text)) + 0.3 * len(_PUNCT.findall(text)) - 0.05 * len(_DIGIT.findall(text))
-    return 1 if raw < 1 else math.floor(raw + 0.5)
+    return of_parts(parts(text)) if text else 0

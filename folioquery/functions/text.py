@@ -57,8 +57,8 @@ QUERY_KINDS = {
 }
 SUGGESTED = {"factual": "hybrid", "definition": "hybrid", "navigation": "keyword", "list": "keyword", "summary": "semantic", "comparison": "semantic", "unknown": "hybrid"}
 DESCRIBED = {
-    "factual": "Factual question seeking specific information", "navigation": "Navigation request to locate content", "summary": "Request for a summary or overview",
-    "comparison": "Comparison between multiple items", "definition": "Definition or meaning request", "list": "Enumeration or listing request", "unknown": "Unknown query intent",
+    "factual": "asks for a fact", "navigation": "wants to get to a place in the documents", "summary": "wants a short account of something",
+    "comparison": "sets two or more things against each other", "definition": "asks what a term means", "list": "wants all items of a kind", "unknown": "shows no clear intent",
 }
 
 
@@ -116,7 +116,7 @@ def suggested_mode(kind: Column) -> Column:
 
 
 def described(kind: Column) -> Column:
-    return F.coalesce(_chosen(kind, DESCRIBED), F.lit("Unrecognized query type"))
+    return F.coalesce(_chosen(kind, DESCRIBED), F.lit("no known kind of query"))
 
 
 def is_bold(font: Column) -> Column:

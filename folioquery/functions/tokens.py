@@ -51,21 +51,28 @@ def within_budget(df: DataFrame, tokens: str, budget: int, group: list[str], ord
     return df.withColumn("used", F.sum(tokens).over(w)).withColumn("kept", F.col("used") <= budget)
 
 
-def grouped(items: Column, weight: str, limit: int, alone: bool = False) -> Column:
-    """Fold an ordered array of structs into numbers of greedy groups whose
-    ``weight`` adds up to at most ``limit``. With ``alone`` an item above the
-    limit has a group of its own and does not end up in the next one."""
-    start = F.struct(F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc, x):
-        w = x[weight].cast("long")
-        big = (w > limit) if alone else F.lit(False)
-        new = (acc["n"] > 0) & (big | (acc["used"] + w > limit))
-        group = F.when(new, acc["group"] + 1).otherwise(acc["group"])
-        used = F.when(big, F.lit(limit + 1).cast("long")).when(new, w).otherwise(acc["used"] + w)
-        return F.struct(group.alias("group"), used.alias("used"), (acc["n"] + 1).alias("n"), F.array_append(acc["out"], group).alias("out"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+def estimate_context(before: Column, content: Column, after: Column) -> Column:
+    """Of a block and of the arrays of contents around it."""
+    total = lambda xs: F.aggregate(F.transform(F.coalesce(xs, F.array().cast("array<string>")), estimate), F.lit(0), lambda a, x: a + x)
+    return total(before) + estimate(content) + total(after)
+
+
+class Grouping:
+    """Numbers of greedy groups of items, in order, whose weights add up to at
+    most ``limit``. With ``alone`` an item above the limit has a group of its own
+    and does not end up in the next one."""
+
+    def __init__(self, limit: int, alone: bool = False):
+        self.limit, self.alone = limit, alone
+        self.group = self.used = self.n = 0
+
+    def next(self, weight: int) -> int:
+        big = self.alone and weight > self.limit
+        new = self.n > 0 and (big or self.used + weight > self.limit)
+        self.group += new
+        self.used = self.limit + 1 if big else weight if new else self.used + weight
+        self.n += 1
+        return self.group
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import time
@@ -13,7 +14,6 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from folioquery.errors import ContextTooLong, EmptyInput, ProviderError
@@ -35,13 +35,19 @@ class HashProvider:
     dimension: int = 64
     name: str = "hash-embed"
     max_batch: int = 256
+    unit: bool = True  # false leaves the whole numbers
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimension))
+        known: dict[str, int] = {}
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = xxhash.xxh64_intdigest(w)
+                if w not in known:
+                    known[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "replace"), usedforsecurity=False).digest()[:8], "little")
+                h = known[w]
                 out[i, h % self.dimension] += 1 if h >> 63 else -1
+        if not self.unit:
+            return out.tolist()
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0).tolist()
 
@@ -136,3 +142,20 @@ def embedded(chunks: DataFrame, provider: Provider, column: str = "content") ->
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "vector", "model", "dimension", "error"])
 
     return chunks.mapInArrow(run, schema)
+
+
+def provider(kind: str, key: str = "", **given) -> Provider:
+    """A provider by name, with the defaults of its kind: 'hash', 'openai',
+    'azure' (needs ``endpoint`` and ``deployment``), 'ollama'."""
+    if kind == "hash":
+        return HashProvider(**given)
+    if kind == "openai":
+        base = given.pop("endpoint", "https://api.openai.com/v1").rstrip("/")
+        return HttpProvider(**{"url": f"{base}/embeddings", "name": "text-embedding-3-small", "dimension": 1536, "key": key} | given)
+    if kind == "azure":
+        base, at, version = given.pop("endpoint").rstrip("/"), given.pop("deployment"), given.pop("version", "2024-02-01")
+        return HttpProvider(**{"url": f"{base}/openai/deployments/{at}/embeddings?api-version={version}", "name": at, "dimension": 1536, "key": key, "key_header": "api-key"} | given)
+    if kind == "ollama":
+        base = given.pop("endpoint", "http://localhost:11434").rstrip("/")
+        return HttpProvider(**{"url": f"{base}/api/embed", "name": "nomic-embed-text", "dimension": 768, "style": "ollama"} | given)
+    raise ProviderError(f"no provider {kind!r}")

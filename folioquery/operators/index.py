@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ def unique_blocks(blocks: DataFrame) -> DataFrame:
     """One row per (document_id, block_id): of repeated rows that with the
     largest block_key. A partial maximum, so hot keys are reduced before the
     shuffle."""
-    rest = [c for c in blocks.columns if c not in ("document_id", "block_id", "block_key", "entry_metadata")]
+    rest = [c for c in blocks.columns if c not in ("document_id", "block_id", "block_key")]
     row = F.struct("block_key", *rest)
     best = blocks.filter("document_id is not null and block_id is not null").groupBy("document_id", "block_id").agg(F.max_by(row, "block_key").alias("r"))
     return best.select("document_id", "block_id", "r.*")
@@ -44,17 +48,32 @@ def tokenized(blocks: DataFrame, stop_words: bool = True) -> DataFrame:
 
 
 def postings(blocks: DataFrame, stop_words: bool = True, stemming: bool = True) -> DataFrame:
-    """(term, document_id, block_id, positions, tf, block_len). Counting within a
-    block happens in its own row, so only finished postings leave the scan."""
+    """(term, document_id, block_id, positions, tf, block_len). A block's tokens
+    are grouped within its own row by one sort, so only finished postings leave
+    the scan and a long block costs little more than its length."""
     b = blocks.filter(F.coalesce("type", F.lit("text")) != "image")
     toks = T.tokens(F.col("content"), stop_words)
     if stemming:
         toks = F.transform(toks, T.stem)
-    b = b.select("document_id", "block_id", toks.alias("toks")).filter(F.size("toks") > 0)
-    b = b.select("document_id", "block_id", F.size("toks").alias("block_len"), "toks", F.explode(F.array_distinct("toks")).alias("term"))
-    at = F.filter(F.transform("toks", lambda x, i: F.when(x == F.col("term"), i)), lambda x: x.isNotNull())
-    b = b.withColumn("positions", at)
-    return b.select("term", "document_id", "block_id", "positions", (F.size("positions") / F.col("block_len")).alias("tf"), "block_len")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            lists = x.column(2)
+            size = np.diff(lists.offsets.to_numpy())
+            words = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            key = row * max(1, len(words.dictionary)) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            off = np.append(first, len(key)).astype(np.int32)
+            at = pa.array(row[order][first])
+            n = size[row[order][first]]
+            cols = [words.dictionary.take(words.indices.take(pa.array(order[first]))), x.column(0).take(at), x.column(1).take(at), pa.ListArray.from_arrays(pa.array(off), pa.array(place[order].astype(np.int32))), pa.array(np.diff(off) / np.maximum(n, 1)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["term", "document_id", "block_id", "positions", "tf", "block_len"])
+
+    schema = "term string, document_id string, block_id string, positions array<int>, tf double, block_len int"
+    return b.select("document_id", "block_id", toks.alias("toks")).mapInArrow(run, schema)
 
 
 def document_stats(blocks: DataFrame, posts: DataFrame) -> DataFrame:
@@ -108,3 +127,9 @@ def placed(paragraphs: DataFrame, total: str, pages: str, at: str = "sequence")
     page = F.when((F.col(total) == 0) | (F.col(pages) == 0), 1).otherwise(F.least(F.floor(F.col(at) / per) + 1, F.col(pages))).cast("int")
     y = F.lit(720.0) - (F.col(at) % 46) * 14.0
     return paragraphs.withColumn("page_now", page).withColumn("y_now", y)
+
+
+def relative_position(blocks: DataFrame) -> DataFrame:
+    """blocks with ``percent``: how far down its document a block begins."""
+    at, n = Window.partitionBy("document_id").orderBy("sequence", "block_id"), Window.partitionBy("document_id")
+    return blocks.withColumn("percent", 100.0 * (F.row_number().over(at) - 1) / F.count(F.lit(1)).over(n))

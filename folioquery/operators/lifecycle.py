@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions import vectors as V
+from folioquery.functions.tokens import estimate
 from folioquery.schemas import EMBEDDABLE
 
 
@@ -103,21 +104,31 @@ def duplicates(documents: DataFrame, column: str, method: str) -> DataFrame:
 
 def alike(documents: DataFrame, wanted: DataFrame, limit: int = 10) -> DataFrame:
     """(wanted_id, document_id, rank): documents of the same name, or the same
-    size and pages, or a size within five percent. Each kind is an equi-join, the
-    last on size bands of five percent, so no pair of all rows is formed; equal
-    candidates are limited per wanted document."""
-    band = F.floor(F.log(F.greatest("size_bytes", F.lit(1)).cast("double")) / F.log(F.lit(1.06))).cast("int")
-    d = documents.select("document_id", "name", "size_bytes", "page_count", band.alias("band"))
-    w = wanted.select(F.col("document_id").alias("wanted_id"), F.col("name").alias("wn"), F.col("size_bytes").alias("ws"), F.col("page_count").alias("wp"), band.alias("wb"))
-    same = w.join(d, F.col("wn") == F.col("name"))
-    size = w.join(d, (F.col("ws") == F.col("size_bytes")) & (F.col("wp") == F.col("page_count")))
-    near = w.withColumn("wb", F.explode(F.array(*[F.col("wb") + i for i in (-1, 0, 1)]))).join(d, F.col("wb") == F.col("band"))
-    near = near.filter(F.col("size_bytes").between(F.floor(F.col("ws") * 95 / 100), F.floor(F.col("ws") * 105 / 100)))
-    rows = [x.filter("wanted_id <> document_id").select("wanted_id", "document_id") for x in (same, size, near)]
+    size and pages, or a size within five percent; the first ``limit`` by id.
+
+    Of a name, a pair of size and pages, a size, and a band of sizes (0.1 %) only
+    the first limit + 1 ids can be among them, so each is cut to these before it
+    meets a wanted document: bands that lie within the five percent as they are,
+    the two at the ends by their sizes."""
+    size = F.greatest("size_bytes", F.lit(1)).cast("double")
+    of = lambda n: F.floor(F.log(n) / F.log(F.lit(1.001))).cast("long")
+    d = documents.filter("document_id is not null").select("document_id", "name", "size_bytes", "page_count", of(size).alias("band"))
+
+    def first(*keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("document_id")
+        return d.dropna(subset=list(keys)).dropDuplicates([*keys, "document_id"]).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit + 1).drop("n")
+
+    lo, hi = F.floor(F.col("size_bytes") * 95 / 100), F.floor(F.col("size_bytes") * 105 / 100)
+    w = wanted.filter("document_id is not null").select(F.col("document_id").alias("wanted_id"), F.col("name").alias("wn"), F.col("size_bytes").alias("ws"), F.col("page_count").alias("wp"), lo.alias("lo"), hi.alias("hi"))
+    w = w.withColumns({"from": of(F.greatest("lo", F.lit(1)).cast("double")), "to": of(F.greatest("hi", F.lit(1)).cast("double"))})
+    same = w.join(first("name"), F.col("wn") == F.col("name"))
+    pages = w.join(first("size_bytes", "page_count"), (F.col("ws") == F.col("size_bytes")) & (F.col("wp") == F.col("page_count")))
+    inner = w.filter("to - from > 1").withColumn("at", F.explode(F.sequence(F.col("from") + 1, F.col("to") - 1))).join(first("band"), F.col("at") == F.col("band"))
+    ends = w.withColumn("at", F.explode(F.array_distinct(F.array("from", "to")))).join(first("size_bytes"), F.col("at") == F.col("band")).filter(F.col("size_bytes").between(F.col("lo"), F.col("hi")))
+    rows = [x.filter("wanted_id <> document_id").select("wanted_id", "document_id") for x in (same, pages, inner, ends)]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).distinct()
     each = Window.partitionBy("wanted_id").orderBy("document_id")
-    cut = [x.distinct().withColumn("r", F.row_number().over(each)).filter(F.col("r") <= limit).drop("r") for x in rows]
-    all_rows = cut[0].unionByName(cut[1]).unionByName(cut[2]).distinct()
-    return all_rows.withColumn("rank", F.row_number().over(each)).filter(F.col("rank") <= limit)
+    return every.withColumn("rank", F.row_number().over(each)).filter(F.col("rank") <= limit)
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -135,3 +146,8 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
 def without(table: DataFrame, documents: DataFrame) -> DataFrame:
     """A table after the documents were deleted (every table the same way)."""
     return table.join(documents.select("document_id"), "document_id", "left_anti")
+
+
+def token_totals(blocks: DataFrame) -> DataFrame:
+    """(document_id, tokens): the estimate of all contents."""
+    return blocks.groupBy("document_id").agg(F.sum(estimate(F.col("content"))).cast("long").alias("tokens"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from folioquery.errors import InvalidQuery
 from folioquery.functions import text as T
 from folioquery.operators import index as I
-from folioquery.session import partitions
 
 K1, B, RRF_K = 1.2, 0.75, 60
 BOOST = 1.5
@@ -58,11 +57,12 @@ def boosted(scores: DataFrame, blocks: DataFrame, min_score: float | None = None
     return s.join(b, ["document_id", "block_id"]).withColumn("score", F.round(F.col("score") * gain, 9)).drop("is_heading")
 
 
-def top(scores: DataFrame, n: int, group: str = "query_id", by: str = "score") -> DataFrame:
-    """The best n of each group with ``rank``; ties by document and block. Spark
-    limits each task's rows per group before the shuffle."""
+def top(scores: DataFrame, n: int | None = None, group: str = "query_id", by: str = "score") -> DataFrame:
+    """The best n of each group, or all, with ``rank``; ties by document and
+    block. Spark limits each task's rows per group before the shuffle."""
     w = Window.partitionBy(group).orderBy(F.desc(by), "document_id", "block_id")
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    s = scores.withColumn("rank", F.row_number().over(w))
+    return s if n is None else s.filter(F.col("rank") <= n)
 
 
 def parsed_query(text: str) -> dict:
@@ -107,17 +107,17 @@ def boolean_matches(posts: DataFrame, text: str) -> DataFrame:
     return held.filter(cond).select("document_id", "block_id")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block: int = 2048, part: int = 16_384, skip_own: bool = True) -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact k nearest by cosine.
 
     queries: query_id, model, vector; vectors: vec_id, model, vector, usable
-    ones. The query set is split into blocks of about ``block``, and vectors into
-    as many parts as there are partitions; each pair of parts is one matrix
-    product that keeps k per query, so nothing is broadcast and no pair of rows
-    is made. A query is not its own neighbour where the ids agree.
+    ones. Queries are split into blocks of about ``block`` and vectors into parts
+    of about ``part`` rows; each pair of these is one matrix product that gives at
+    most k per query, equal similarities by vec_id, so nothing is broadcast and no
+    pair of rows is made. With ``skip_own`` queries are vectors of the table: one
+    is not its own neighbour.
     """
-    spark = vectors.sparkSession
-    parts = partitions(spark)
+    parts = max(1, -(-vectors.count() // part))
     blocks = max(1, -(-queries.count() // block))
     q = queries.select(F.col("query_id").alias("id"), "model", "vector", F.lit(True).alias("asks"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("vb"))
     v = vectors.select(F.col("vec_id").alias("id"), "model", "vector", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("vb"))
@@ -127,18 +127,21 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0,
         x = np.stack(f["vector"].to_numpy()).astype(np.float64)
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         asks, ids = f["asks"].to_numpy(), f["id"].to_numpy()
-        order = np.argsort(ids[~asks], kind="stable")
-        vi, vx = ids[~asks][order], x[~asks][order]
-        qi, qx = ids[asks], x[asks]
+        vi, vx, qi, qx = ids[~asks], x[~asks], ids[asks], x[asks]
         if not len(vi) or not len(qi):
             return out[0]
         for i in range(0, len(qi), 256):
             s = np.round(qx[i : i + 256] @ vx.T, 9)
-            s[qi[i : i + 256][:, None] == vi[None, :]] = -2
+            if skip_own:
+                s[qi[i : i + 256][:, None] == vi[None, :]] = -2
             m = min(k, s.shape[1])
             kth = -np.partition(-s, m - 1, axis=1)[:, m - 1]
             a, b = np.nonzero((s >= np.maximum(kth, least)[:, None]) & (s > -2))
-            out.append(pd.DataFrame({"query_id": qi[i + a], "vec_id": vi[b], "similarity": s[a, b]}))
+            order = np.lexsort((vi[b], -s[a, b], a))
+            a, b = a[order], b[order]
+            n = np.bincount(a, minlength=1)
+            keep = np.arange(len(a)) - (np.cumsum(n) - n)[a] < k
+            out.append(pd.DataFrame({"query_id": qi[i + a[keep]], "vec_id": vi[b[keep]], "similarity": s[a[keep], b[keep]]}))
         return pd.concat(out, ignore_index=True)
 
     near = q.unionByName(v).groupBy("model", "qb", "vb").applyInPandas(run, "query_id long, vec_id long, similarity double")
@@ -201,6 +204,12 @@ def context(blocks: DataFrame, window: int = 2) -> DataFrame:
     return blocks.withColumn("before", take(-window, -1)).withColumn("after", take(1, window))
 
 
+def numbered(blocks: DataFrame) -> DataFrame:
+    """blocks with ``at``, their place in their document from 1."""
+    w = Window.partitionBy("document_id").orderBy("sequence", "block_id")
+    return blocks.withColumn("at", F.row_number().over(w))
+
+
 def with_metadata(hits: DataFrame, documents: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """hits with the document's name, source, external id and tags."""
     out = hits.join(documents.select("document_id", F.col("name").alias("document_name"), "source", "external_id"), "document_id", "left")
@@ -220,3 +229,10 @@ def with_images(hits: DataFrame, images: DataFrame) -> DataFrame:
 def images_of_section(images: DataFrame, blocks: DataFrame, section: Column) -> DataFrame:
     b = blocks.filter(section).select("document_id", "block_id")
     return images.join(b, ["document_id", "block_id"], "left_semi")
+
+
+def images_by_section(images: DataFrame) -> DataFrame:
+    """(document_id, section, images): references to the images of a section."""
+    ref = F.concat(F.lit("images/"), F.col("image_id"), F.lit("."), F.col("format"))
+    i = images.filter("section is not null and section <> ''")
+    return i.groupBy("document_id", "section").agg(F.array_sort(F.collect_set(ref)).alias("images"))

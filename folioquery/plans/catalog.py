@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioquery.functions import text as T
 from folioquery.functions import tokens as K
 from folioquery.functions import vectors as V
-from folioquery.operators import chunking, embedding, incremental, lifecycle, search
+from folioquery.operators import chunking, embedding, incremental, lifecycle, search, store, unified
 from folioquery.operators import filters as flt
 from folioquery.operators import index as ix
 from folioquery.plans.oracle import SQL
@@ -69,11 +69,22 @@ def stem_vocab(spark, d):
     return T.stemmed_vocabulary(ix.tokenized(blocks(spark, d), stop_words=False), "token")
 
 
-def postings(spark, d):
-    p = ix.postings(blocks(spark, d), stemming=False)
+def _postings(p):
     return p.select("term", "document_id", "block_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), F.round("tf", 6).alias("tf"))
 
 
+def postings(spark, d):
+    return _postings(ix.postings(blocks(spark, d), stemming=False))
+
+
+def postings_stemmed(spark, d):
+    return _postings(ix.postings(blocks(spark, d)))
+
+
+def relative_position(spark, d):
+    return ix.relative_position(blocks(spark, d)).select("document_id", "block_id", F.round("percent", 6).alias("percent"))
+
+
 def doc_stats(spark, d):
     b = blocks(spark, d)
     s = ix.document_stats(b, ix.postings(b, stemming=False))
@@ -221,7 +232,7 @@ def bm25_min_score(spark, d):
 
 
 def boolean_search(spark, d):
-    return search.boolean_matches(posts(spark, d), "annual AND report NOT the")
+    return search.boolean_matches(posts(spark, d), "sheet AND copy NOT manual")
 
 
 def phrase_search(spark, d):
@@ -250,7 +261,7 @@ def knn_filtered(spark, d):
 
 
 def _branches(spark, d):
-    """The two lists of each query, as the index and the vectors gave them."""
+    """The two stored lists of each query."""
     h = table(spark, d, "search_hits").filter("score is not null and not isnan(score) and score < double('Infinity') and score > double('-Infinity')")
     best = h.groupBy("query_id", "branch", "document_id", "block_id").agg(F.max("score").alias("score"))
     best = written(best, "branches")
@@ -258,48 +269,87 @@ def _branches(spark, d):
     return of("keyword"), of("vector")
 
 
+def _each(spark, d, f):
+    """f of both lists, with the list's name."""
+    k, v = _branches(spark, d)
+    return f(k).withColumn("branch", F.lit("keyword")).unionByName(f(v).withColumn("branch", F.lit("vector")))
+
+
 def rrf_fusion(spark, d):
     k, v = _branches(spark, d)
-    f = search.fuse(search.top(k, 20), search.top(v, 20))
+    f = search.fuse(search.top(k), search.top(v))
     return f.select("query_id", "document_id", "block_id", "keyword_rank", "vector_rank", F.round("score", 9).alias("score"))
 
 
 def weighted_fusion(spark, d):
     k, v = _branches(spark, d)
-    f = search.fuse(search.top(k, 20), search.top(v, 20), 0.3, 0.7, use_rrf=False)
+    f = search.fuse(search.top(k), search.top(v), 0.3, 0.7, use_rrf=False)
     return f.select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"))
 
 
+def fused_lists(spark, d):
+    """The stored lists, each cut at twice the limit, as a hybrid search takes them."""
+    k, v = _branches(spark, d)
+    return search.hybrid(k, v, 10, min_score=0.2).select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
+
+
 def score_normalize(spark, d):
-    k, _ = _branches(spark, d)
-    return search.normalized(k).select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"))
+    return _each(spark, d, search.normalized).select("branch", "query_id", "document_id", "block_id", F.round("score", 6).alias("score"))
 
 
 def diversify(spark, d):
-    k, _ = _branches(spark, d)
-    return search.diversified(search.top(k, 20), 2).select("query_id", "document_id", "block_id", "rank")
+    return _each(spark, d, lambda x: search.diversified(search.top(x), 2)).select("branch", "query_id", "document_id", "block_id", "rank")
 
 
 def citations(spark, d):
-    k, _ = _branches(spark, d)
-    return search.cited(search.top(k, 5)).select("query_id", "document_id", "block_id", "citation")
+    return _each(spark, d, search.cited).select("branch", "query_id", "document_id", "block_id", "citation")
+
+
+# --- end to end
+WHOLE = embedding.HashProvider(unit=False)  # whole numbers, so that any engine gets the same
+
+
+def _store(spark, d):
+    b = written(blocks(spark, d), "blocks")
+    e = b.filter(lifecycle.embeddable()).select(F.col("block_key").alias("vec_id"), "document_id", "block_id", "content")
+    v = embedding.embedded(e, WHOLE).drop("content")
+    i = b.filter("type = 'image'").select(F.concat_ws("_", "document_id", "block_id").alias("image_id"), "document_id", "section", F.lit("png").alias("format"))
+    return unified.Tables(docs(spark, d), b, posts(spark, d), stats(spark, d), written(v, "vectors"), tags(spark, d), i)
+
+
+def _asked(spark, d):
+    return table(spark, d, "search_queries").select("query_id", "query_text")
 
 
 def hybrid_search(spark, d):
-    k, v = _branches(spark, d)
-    return search.hybrid(k, v, 10, min_score=0.2).select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
+    """Queries as texts against the whole store: both branches, fused, with
+    snippets, context, images and metadata."""
+    o = unified.Options(min_score=0.2, context_window=1, images=True, metadata=True, max_per_document=2)
+    r = unified.search_store(_asked(spark, d), _store(spark, d), o, WHOLE)
+    ids = F.array_join(F.transform("context", lambda x: x["block_id"]), ",")
+    return r.select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank", "snippet", "page", "section", "source", F.col("tags")["lang"].alias("lang"), ids.alias("context"), F.coalesce(F.array_join("images", ","), F.lit("")).alias("images"))
 
 
 def agent_search(spark, d):
-    """Best hits of each query with intent, citation, text, context and tokens."""
-    k, v = _branches(spark, d)
-    hits = search.cited(search.hybrid(k, v, 10).filter("rank <= 5"))
-    b = blocks(spark, d)
-    near = search.context(b, 1).select("document_id", "block_id", "content", "before", "after")
-    kind = T.query_kind(F.col("query_text"))
-    q = table(spark, d, "search_queries").select("query_id", kind.alias("kind"))
-    named = search.with_metadata(hits.join(near, ["document_id", "block_id"]).join(q, "query_id"), docs(spark, d))
-    return named.select("query_id", "kind", "citation", "document_id", "block_id", "source", K.estimate(F.col("content")).alias("tokens"), F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+    """The answer for an agent: intent, citations, tokens with context, totals."""
+    r = unified.for_agents(_asked(spark, d), _store(spark, d), unified.Options(max_results=5, context_window=1), WHOLE)
+    return r.select("query_id", "kind", "mode", "citation", "document_id", "block_id", "tokens", "total_tokens")
+
+
+def search_in_document(spark, d):
+    t = _store(spark, d)
+    first = t.blocks.agg(F.min("document_id")).first()[0]
+    r = unified.search_in_document(first or "", _asked(spark, d), t, unified.Options(max_results=3), WHOLE)
+    return r.select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
+
+
+def semantic_search(spark, d):
+    r = unified.ranked(_asked(spark, d), _store(spark, d), unified.Options(mode="semantic", max_results=5), WHOLE)
+    return r.select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
+
+
+def search_diagnostics(spark, d):
+    return unified.diagnosed(_asked(spark, d), _store(spark, d), unified.Options(min_score=0.6), WHOLE)
 
 
 def context_window(spark, d):
@@ -308,9 +358,8 @@ def context_window(spark, d):
 
 
 def metadata_join(spark, d):
-    k, _ = _branches(spark, d)
-    m = search.with_metadata(search.top(k, 5), docs(spark, d), tags(spark, d))
-    return m.select("query_id", "document_id", "block_id", "document_name", "source", "external_id", F.col("tags")["lang"].alias("lang"))
+    m = _each(spark, d, lambda x: search.with_metadata(search.top(x), docs(spark, d), tags(spark, d)))
+    return m.select("branch", "query_id", "document_id", "block_id", "document_name", "source", "external_id", F.col("tags")["lang"].alias("lang"))
 
 
 def image_blocks(spark, d):
@@ -348,9 +397,8 @@ def chunk_blocks(spark, d):
 
 
 def chunk_hits(spark, d):
-    k, _ = _branches(spark, d)
     b = blocks(spark, d).select("document_id", "block_id", K.estimate(F.col("content")).alias("tokens"))
-    return chunking.grouped_rows(search.top(k, 20).join(b, ["document_id", "block_id"]), "query_id", ["rank"], "tokens", 64)
+    return _each(spark, d, lambda x: chunking.grouped_rows(search.top(x).join(b, ["document_id", "block_id"]), "query_id", ["rank"], "tokens", 64))
 
 
 def combine_blocks(spark, d):
@@ -368,8 +416,9 @@ def dedup_checksum(spark, d):
 
 
 def dedup_content(spark, d):
-    h = lifecycle.content_hashes(blocks(spark, d))
-    return lifecycle.duplicates(h, "content_hash", "content_hash")
+    """Contents of documents by their whole texts, a block a line."""
+    lines = ix.split_lines(docs(spark, d), "document_id").withColumn("type", F.lit("text"))
+    return lifecycle.duplicates(lifecycle.content_hashes(lines), "content_hash", "content_hash")
 
 
 def similar_documents(spark, d):
@@ -426,6 +475,108 @@ def upsert_latest(spark, d):
     return lifecycle.upserted(x.filter("batch_no = 0").drop("batch_no"), x.filter("batch_no > 0").drop("batch_no")).select("document_id", "source", "external_id", "created_at")
 
 
+def token_totals(spark, d):
+    return lifecycle.token_totals(blocks(spark, d))
+
+
+# --- the store: every table as saved, replaced, deleted, read again
+def _saved(spark, d):
+    """Batch 0, then the other batches with new names for a tenth of batch 0."""
+    at = store.Store(spark, new_path(spark, "store"))
+    x, b, t = docs(spark, d), table(spark, d, "content_blocks"), tags(spark, d)
+    old = F.coalesce("batch_no", F.lit(0)) == 0
+    again = x.filter(old & (F.pmod(F.col("doc_id"), F.lit(10)) == 0)).withColumn("name", F.concat(F.lit("renamed "), F.col("doc_id")))
+    at.save("first", x.filter(old), b, t, stemming=False)
+    at.save("second", x.filter(~old).unionByName(again), b, t, stemming=False)
+    return at
+
+
+def store_documents(spark, d):
+    return _saved(spark, d).table("documents").select("document_id", "name", "source", "external_id", "page_count", "created_at")
+
+
+def store_deleted(spark, d):
+    """Rows of every table after the documents of a source were deleted."""
+    at = _saved(spark, d)
+    at.save_vectors("vectors", table(spark, d, "vectors"))
+    at.delete("gone", docs(spark, d).filter("source = 'wiki_export'"))
+    count = lambda n: at.table(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n")
+    out = count("documents")
+    for n in ("blocks", "tags", "postings", "stats", "vectors"):
+        out = out.unionByName(count(n))
+    return out
+
+
+def store_tags(spark, d):
+    """Tags of the pdf files replaced by one."""
+    at = store.Store(spark, new_path(spark, "store"))
+    x = docs(spark, d)
+    at.save("first", x, tags=tags(spark, d))
+    at.set_tags("new", x.filter("format = 'pdf'").select("document_id", F.lit("kind").alias("tag_key"), F.lit("file").alias("tag_value")))
+    return at.table("tags")
+
+
+def store_touched(spark, d):
+    at = store.Store(spark, new_path(spark, "store"))
+    x = docs(spark, d)
+    at.save("first", x)
+    at.touch("hash", x.filter("content_hash is null"), content_hash=F.concat(F.lit("new:"), F.col("document_id")))
+    return at.table("documents").select("document_id", "content_hash", "source")
+
+
+def embed_pending(spark, d):
+    """A job embeds what has no vector of its present text; its keys and hashes."""
+    at = store.Store(spark, new_path(spark, "store"))
+    at.save("first", docs(spark, d), table(spark, d, "content_blocks"), stemming=False)
+    at.save_vectors("vectors", table(spark, d, "vectors"))
+    at.embed("job", embedding.HashProvider())
+    return at.table("vectors").filter("model = 'hash-embed'").select("document_id", "block_id", "chunk_idx", "text_hash", "dimension")
+
+
+def embed_repaired(spark, d):
+    """After a repair no block waits, and no vector lacks its block."""
+    at = store.Store(spark, new_path(spark, "store"))
+    at.save("first", docs(spark, d), table(spark, d, "content_blocks"), stemming=False)
+    at.save_vectors("vectors", table(spark, d, "vectors"))
+    at.repair("mend", embedding.HashProvider())
+    return at.waiting().agg(F.count("*").alias("waiting")).crossJoin(lifecycle.health(at.table("documents"), at.table("blocks"), at.table("vectors")).select("orphans", "incomplete"))  # one row each
+
+
+def pending_first(spark, d):
+    at = store.Store(spark, new_path(spark, "store"))
+    at.save("first", docs(spark, d))
+    at.save_vectors("vectors", table(spark, d, "vectors"))
+    return at.pending(25)
+
+
+def paged_blocks(spark, d):
+    return store.ordered(blocks(spark, d), 50, 100).select("document_id", "block_id", "position")
+
+
+def lookups(spark, d):
+    """By id, by external id, by hash: what each finds for one document."""
+    at = store.Store(spark, new_path(spark, "store"))
+    x = docs(spark, d)
+    at.save("first", x)
+    one = x.filter("external_id <> '' and content_hash <> '' and source is not null").orderBy("doc_id").select("document_id", "source", "external_id", "content_hash").first()
+    if one is None:
+        return spark.createDataFrame([], "how string, document_id string")
+    found = {"id": at.document(one[0]), "external": at.by_external_id(one[1], one[2]), "hash": at.by_hash(one[3])}
+    out = None
+    for how, df in found.items():
+        rows = df.select(F.lit(how).alias("how"), "document_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def ordered_documents(spark, d):
+    """Documents by time of change, the newest first, with their place."""
+    from pyspark.sql import Window
+
+    x = docs(spark, d).filter("updated_at is not null").orderBy(F.desc("updated_at"), "document_id").limit(100)
+    return x.select("document_id", F.row_number().over(Window.orderBy(F.desc("updated_at"), "document_id")).alias("position"))
+
+
 def delete_cascade(spark, d):
     gone = docs(spark, d).filter("source = 'wiki_export'")
     count = lambda name, df: lifecycle.without(df, gone).agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")

@@ -82,14 +82,47 @@ best as (
 kw as (select * from best where branch = 'keyword'), ve as (select * from best where branch = 'vector')"""
 FUSED = f"""
 {HITS},
-k as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from kw qualify r <= 20),
-v as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from ve qualify r <= 20),
+k as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from kw),
+v as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from ve),
 j as (
   select coalesce(k.query_id, v.query_id) as query_id, coalesce(k.document_id, v.document_id) as document_id, coalesce(k.block_id, v.block_id) as block_id,
     k.score as ks, v.score as vs, k.r as kr, v.r as vr
   from k full join v on k.query_id = v.query_id and k.document_id = v.document_id and k.block_id = v.block_id),
 f as (
   select *, coalesce(kr, count(kr) over (partition by query_id) + 1) as keyword_rank, coalesce(vr, count(vr) over (partition by query_id) + 1) as vector_rank from j)"""
+CUT = FUSED.replace("from kw)", "from kw qualify r <= 20)").replace("from ve)", "from ve qualify r <= 20)")
+WORDS = "list_filter(regexp_split_to_array(lower({0}), '[\\s\\p{{Z}}\\x{{1c}}-\\x{{1f}}\\x{{85}}]+'), lambda w: w <> '')"
+
+
+def embedded(rows: str, keys: str, text: str) -> str:
+    """Signed counts of hashed words by dimension, and their length."""
+    hashed = f"select {keys}, md5_number_upper(w) as h from (select {keys}, unnest({WORDS.format(text)}) as w from {rows})"
+    return f"select *, sqrt(sum(v * v) over (partition by {keys})) as norm from (select {keys}, (h % 64)::int as dim, sum(case when h >= 9223372036854775808 then 1 else -1 end)::double as v from ({hashed}) group by all)"
+
+
+def whole(limit: int, kept: str = "true", mode: str = "hybrid") -> str:
+    """f: the hits of both branches in the documents kept, fused; raw is their sum."""
+    near = f"""
+bd as ({embedded(f"(select * from b where {EMBEDDABLE})", "document_id, block_id, block_key", "content")}),
+qd as ({embedded("(select * from search_queries where trim(coalesce(query_text, '')) <> '')", "query_id", "query_text")}),
+z as (
+  select query_id, document_id, block_id, block_key, round(sum(q.v * x.v) / any_value(q.norm * x.norm), 9) as score
+  from qd q join bd x using (dim) where q.norm > 0 and x.norm > 0 group by all having {kept}),
+ve as (select * from z where score >= 1e-6 qualify row_number() over (partition by query_id order by score desc, block_key) <= {2 * limit})"""
+    return f"""{bm25('search_queries')}, {BLOCKS}, {near},
+k as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from m where {kept} qualify r <= {2 * limit}),
+v as (select query_id, document_id, block_id, score, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from ve),
+j as (
+  select coalesce(k.query_id, v.query_id) as query_id, coalesce(k.document_id, v.document_id) as document_id, coalesce(k.block_id, v.block_id) as block_id, k.r as kr, v.r as vr
+  from k full join v on k.query_id = v.query_id and k.document_id = v.document_id and k.block_id = v.block_id),
+f as (
+  select query_id, document_id, block_id, 0.5e0 / (60 + coalesce(kr, count(kr) over (partition by query_id) + 1)) + 0.5e0 / (60 + coalesce(vr, count(vr) over (partition by query_id) + 1)) as raw from j),
+n as (select query_id, document_id, block_id, round(raw / max(raw) over (partition by query_id), 9) as score from f)"""
+
+
+AROUND = """
+o as (select *, row_number() over (partition by document_id order by sequence, block_id) as at from b),
+ar as (select x.document_id, x.block_id, string_agg(y.block_id, ',' order by y.at) as context, sum({0})::bigint as near from o x join o y on x.document_id = y.document_id and y.at between x.at - 1 and x.at + 1 group by all)"""
 STATUS = f"""
 {BLOCKS}, {KEYS},
 st as (
@@ -117,6 +150,8 @@ NUMBERED = r"^(\d+[.)]\s|[(]\d+[)]\s|[a-z][.)]\s)"
 IN_SOURCES = "(source in ('crm_notes', 'wiki_export') or format in ('crm_notes', 'wiki_export'))"
 TAGS = "tags as (select document_id, unnest([{'k': 'lang', 'v': lang}, {'k': 'format', 'v': format}, {'k': 'batch', 'v': batch_no::varchar}]) as t from documents)"
 
+AGAIN = "coalesce(batch_no, 0) = 0 and doc_id % 10 = 0"
+
 P5 = """
 with c as (select source, max(cutoff_at) as cutoff from import_runs where status = 'success' group by 1),
 d as (
@@ -143,6 +178,12 @@ select word, {stem('word')} as stem from t""",
 with {BLOCKS}, t as (select document_id, block_id, {tokens('content')} as l from b where coalesce(type, 'text') <> 'image'),
 e as (select document_id, block_id, len(l) as n, generate_subscripts(l, 1) - 1 as position, unnest(l) as term from t)
 select term, document_id, block_id, string_agg(position::varchar, ',' order by position) as positions, round(count(*)::double / any_value(n), 6) as tf from e group by term, document_id, block_id""",
+    "postings_stemmed": f"""
+with {BLOCKS}, t as (select document_id, block_id, {tokens('content')} as l from b where coalesce(type, 'text') <> 'image'),
+e as (select document_id, block_id, len(l) as n, generate_subscripts(l, 1) - 1 as position, unnest(l) as w from t), s as (select *, {stem('w')} as term from e)
+select term, document_id, block_id, string_agg(position::varchar, ',' order by position) as positions, round(count(*)::double / any_value(n), 6) as tf from s group by term, document_id, block_id""",
+    "relative_position": f"""
+with {BLOCKS} select document_id, block_id, round(100e0 * (row_number() over (partition by document_id order by sequence, block_id) - 1) / count(*) over (partition by document_id), 6) as percent from b""",
     "doc_stats": f"""
 with {BLOCKS}, t as (select document_id, unnest({tokens('content')}) as term from b where coalesce(type, 'text') <> 'image'),
 g as (select document_id, count(*) as n, count(distinct term) as u from t group by 1), a as (select document_id, count(*) as blocks from b group by 1)
@@ -211,7 +252,7 @@ select doc_id, case when regexp_matches(lower(coalesce(original_path, name)), '\
     "bm25_min_score": f"with {bm25('search_queries')}, {BLOCKS}, h as (select m.query_id, m.document_id, m.block_id, round(m.score * case when coalesce(is_heading, false) then 1.5e0 else 1 end, 9) as score from m join b using (document_id, block_id) where m.score >= 1) {top('h', 10)}",
     "boolean_search": f"""
 with {POSTS} select document_id, block_id from p group by 1, 2
-having bool_or(term = 'annual') and bool_or(term = 'report') and not bool_or(term = 'the')""",
+having bool_or(term = 'sheet') and bool_or(term = 'copy') and not bool_or(term = 'manual')""",
     "phrase_search": f"""
 with {POSTS} select distinct x.document_id, x.block_id from p x join p y using (document_id, block_id)
 where x.term = 'belongs' and y.term = 'to' and len(list_intersect(list_transform(x.positions, lambda i: i + 1), y.positions)) > 0""",
@@ -220,30 +261,47 @@ where x.term = 'belongs' and y.term = 'to' and len(list_intersect(list_transform
     "knn_filtered": nearest(f"(select * from u where document_id in (select document_id from documents where {IN_SOURCES}))", 5),
     "rrf_fusion": f"with {FUSED} select query_id, document_id, block_id, keyword_rank, vector_rank, round(0.5e0 / (60 + keyword_rank) + 0.5e0 / (60 + vector_rank), 9) as score from f",
     "weighted_fusion": f"with {FUSED} select query_id, document_id, block_id, round(0.3e0 * coalesce(ks, 0) + 0.7e0 * coalesce(vs, 0), 6) as score from f",
-    "score_normalize": f"with {HITS} select query_id, document_id, block_id, round(case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else score end, 6) as score from kw",
+    "fused_lists": f"""
+with {CUT}, s as (select *, 0.5e0 / (60 + keyword_rank) + 0.5e0 / (60 + vector_rank) as raw from f),
+n as (select query_id, document_id, block_id, round(raw / max(raw) over (partition by query_id), 9) as score from s), c as (select * from n where score >= 0.2e0) {top('c', 10)}""",
+    "score_normalize": f"with {HITS} select branch, query_id, document_id, block_id, round(case when max(score) over (partition by query_id, branch) > 0 then score / max(score) over (partition by query_id, branch) else score end, 6) as score from best",
     "diversify": f"""
-with {HITS}, k as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as rank from kw qualify rank <= 20)
-select query_id, document_id, block_id, rank from k qualify row_number() over (partition by query_id, document_id order by score desc, block_id) <= 2""",
+with {HITS}, k as (select *, row_number() over (partition by query_id, branch order by score desc, document_id, block_id) as rank from best)
+select branch, query_id, document_id, block_id, rank from k qualify row_number() over (partition by query_id, branch, document_id order by score desc, block_id) <= 2""",
     "citations": f"""
-with {HITS} select query_id, document_id, block_id, '[' || row_number() over (partition by query_id order by score desc, document_id, block_id) || ']' as citation from kw
-qualify row_number() over (partition by query_id order by score desc, document_id, block_id) <= 5""",
+with {HITS} select branch, query_id, document_id, block_id, '[' || row_number() over (partition by query_id, branch order by score desc, document_id, block_id) || ']' as citation from best""",
     "hybrid_search": f"""
-with {FUSED}, s as (select *, 0.5e0 / (60 + keyword_rank) + 0.5e0 / (60 + vector_rank) as raw from f),
-n as (select query_id, document_id, block_id, round(raw / max(raw) over (partition by query_id), 9) as score from s), c as (select * from n where score >= 0.2e0) {top('c', 10)}""",
+with {whole(10)}, {AROUND.format('0')},
+h as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from n where score >= 0.2e0 qualify r <= 10),
+h2 as (select * from h qualify row_number() over (partition by query_id, document_id order by score desc, block_id) <= 2),
+i as (select document_id, section, string_agg(distinct 'images/' || document_id || '_' || block_id || '.png', ',' order by 'images/' || document_id || '_' || block_id || '.png') as images from b where type = 'image' and section <> '' group by all),
+hx as (
+  select h2.*, b.content, b.page, b.section, q.query_text as t, strpos(lower(b.content), lower(q.query_text)) as pos, length(b.content) as len, d.source, d.lang, ar.context, coalesce(i.images, '') as images
+  from h2 join b using (document_id, block_id) join (select query_id, min(query_text) as query_text from search_queries group by 1) q using (query_id) join ar using (document_id, block_id)
+  left join documents d using (document_id) left join i on i.document_id = h2.document_id and i.section = b.section),
+y as (select *, greatest(pos - 50, 1) as s, least(pos + length(t) + 100, len + 1) as e from hx)
+select query_id, document_id, block_id, round(score, 6) as score, r as rank, page, section, source, lang, context, images,
+  case when pos > 0 and t <> '' then (case when s > 1 then '...' else '' end) || substr(content, s, e - s) || (case when e <= len then '...' else '' end)
+    when len > 200 then left(content, 200) || '...' else content end as snippet from y""",
     "agent_search": f"""
-with {FUSED}, {BLOCKS}, s as (select *, 0.5e0 / (60 + keyword_rank) + 0.5e0 / (60 + vector_rank) as raw from f),
-n as (select query_id, document_id, block_id, round(raw / max(raw) over (partition by query_id), 9) as score from s),
+with {whole(5)}, {AROUND.format(estimate('y.content'))},
 h as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from n qualify r <= 5),
-x as (select *, coalesce(lag(block_id) over w, '') as before, coalesce(lead(block_id) over w, '') as after from b window w as (partition by document_id order by sequence, block_id)),
-q as (select query_id, {kind()} as kind from search_queries)
-select h.query_id, q.kind, '[' || r || ']' as citation, h.document_id, h.block_id, d.source, {estimate('x.content')} as tokens, x.before, x.after
-from h join x on h.document_id = x.document_id and h.block_id = x.block_id join q on h.query_id = q.query_id left join documents d on d.document_id = h.document_id""",
+q as (select query_id, {kind()} as kind from (select query_id, min(query_text) as query_text from search_queries group by 1)),
+hx as (select h.*, q.kind, {estimate('b.content')} + ar.near as tokens from h join b using (document_id, block_id) join ar using (document_id, block_id) join q using (query_id))
+select query_id, kind, {mapped(SUGGESTED, 'kind')} as mode, '[' || r || ']' as citation, document_id, block_id, tokens::int as tokens, (sum(tokens) over (partition by query_id))::bigint as total_tokens from hx""",
+    "search_in_document": f"with {whole(3, 'document_id = (select min(document_id) from b)')} {top('n', 3)}",
+    "semantic_search": f"with {whole(5)} {top('(select query_id, document_id, block_id, score / max(score) over (partition by query_id) as score from ve)', 5)}",
+    "search_diagnostics": f"""
+with {whole(10)}, l as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from n),
+al as (select query_id, count(*) filter (r <= 10) as n_all from l group by 1), g as (select query_id, least(count(*), 10) as returned from n where score >= 0.6e0 group by 1)
+select q.query_id, coalesce((select count(*) from k where k.query_id = q.query_id), 0)::bigint as keyword_results, coalesce((select count(*) from v where v.query_id = q.query_id), 0)::bigint as vector_results,
+  coalesce(g.returned, 0)::bigint as returned, (coalesce(n_all, 0) - coalesce(g.returned, 0))::bigint as filtered_by_score
+from (select distinct query_id from search_queries) q left join al on al.query_id = q.query_id left join g on g.query_id = q.query_id""",
     "context_window": f"""
 with {BLOCKS} select document_id, block_id, coalesce(string_agg(block_id, ',') over (w rows between 2 preceding and 1 preceding), '') as before, coalesce(string_agg(block_id, ',') over (w rows between 1 following and 2 following), '') as after
 from b window w as (partition by document_id order by sequence, block_id)""",
     "metadata_join": f"""
-with {HITS}, k as (select *, row_number() over (partition by query_id order by score desc, document_id, block_id) as r from kw qualify r <= 5)
-select query_id, k.document_id, block_id, d.name as document_name, d.source, d.external_id, d.lang from k left join documents d on d.document_id = k.document_id""",
+with {HITS} select branch, query_id, best.document_id, block_id, d.name as document_name, d.source, d.external_id, d.lang from best left join documents d on d.document_id = best.document_id""",
     "image_blocks": f"with {BLOCKS} select document_id, block_id, 'images/' || document_id || '_' || block_id || '.png' as images from b where type = 'image' and section is not null",
     "combine_blocks": f"""
 with {BLOCKS} select document_id, sequence // 5 as part, string_agg(trim(content), E'\\n\\n' order by sequence, trim(content)) as text from b where trim(content) <> '' group by 1, 2""",
@@ -254,7 +312,8 @@ select document_id, sha256(string_agg(x, E'\\n' order by x)) as content_hash fro
 with f as (select checksum, min(document_id) as duplicate_of from documents where checksum is not null and checksum <> '' group by 1 having count(*) > 1)
 select document_id, duplicate_of, 'checksum' as method, 1e0 as similarity from documents join f using (checksum) where document_id <> duplicate_of""",
     "dedup_content": f"""
-with {BLOCKS}, x as (select document_id, {NORM.format('content')} as x from b where coalesce(type, '') <> 'image'),
+with l as (select document_id, unnest(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}]'))) as x from documents where text is not null),
+x as (select document_id, {NORM.format("regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')")} as x from l),
 h as (select document_id, sha256(string_agg(x, E'\\n' order by x)) as h from x where x <> '' group by 1), f as (select h, min(document_id) as duplicate_of from h group by 1 having count(*) > 1)
 select document_id, duplicate_of, 'content_hash' as method, 1e0 as similarity from h join f using (h) where document_id <> duplicate_of""",
     "similar_documents": """
@@ -286,6 +345,29 @@ with r as (select document_id, source, external_id, created_at, case when extern
   coalesce(imported_at, timestamp '1970-01-01') as t from documents where batch_no is not null),
 x as (select *, min(created_at) over (partition by source, record) as first, row_number() over (partition by source, record order by turn desc, t desc, document_id desc) as n from r)
 select document_id, source, external_id, first as created_at from x where n = 1""",
+    "token_totals": f"with {BLOCKS} select document_id, sum({estimate('content')})::bigint as tokens from b group by 1",
+    "store_documents": f"select document_id, case when {AGAIN} then 'renamed ' || doc_id else name end as name, source, external_id, page_count, created_at from documents where document_id is not null",
+    "store_deleted": f"""
+with {BLOCKS}, {TAGS}, x as (select document_id from documents where source <> 'wiki_export' or source is null), kept as (select * from b where document_id in (select * from x)),
+t as (select document_id, block_id, {tokens('content')} as l from kept where coalesce(type, 'text') <> 'image')
+select 'documents' as what, count(*) as n from x union all select 'blocks', count(*) from kept union all select 'tags', count(*) from tags where t.v is not null and document_id in (select * from x)
+union all select 'postings', count(*) from (select distinct document_id, block_id, unnest(l) from t) union all select 'stats', count(distinct document_id) from kept
+union all select 'vectors', count(*) from vectors where document_id is not null and document_id not in (select document_id from documents where source = 'wiki_export')""",
+    "store_tags": f"""
+with {TAGS} select document_id, t.k as tag_key, t.v as tag_value from tags where t.v is not null and document_id not in (select document_id from documents where format = 'pdf')
+union all select document_id, 'kind', 'file' from documents where format = 'pdf'""",
+    "store_touched": "select document_id, case when content_hash is null then 'new:' || document_id else content_hash end as content_hash, source from documents",
+    "embed_pending": f"""
+with {BLOCKS}, x as (select document_id, block_id, left(sha256(content), 16) as text_hash from b where {EMBEDDABLE} and document_id in (select document_id from documents))
+select document_id, block_id, 0 as chunk_idx, text_hash, 64 as dimension from x where not exists (select 1 from vectors v where v.vector is not null and v.document_id = x.document_id and v.block_id = x.block_id and v.text_hash = x.text_hash)""",
+    "embed_repaired": "select 0::bigint as waiting, 0::bigint as orphans, 0::bigint as incomplete",
+    "pending_first": f"with {KEYS} select document_id from documents d where not exists (select 1 from k where k.document_id = d.document_id) order by 1 limit 25",
+    "paged_blocks": f"with {BLOCKS} select document_id, block_id, row_number() over (order by document_id, sequence, block_id) as position from b qualify position between 101 and 150",
+    "lookups": """
+with o as (select document_id, source, external_id, content_hash from documents where external_id <> '' and content_hash <> '' and source is not null order by doc_id limit 1)
+select 'id' as how, document_id from o union all select 'external', d.document_id from documents d join o on d.source = o.source and d.external_id = o.external_id
+union all select 'hash', d.document_id from documents d join o on d.content_hash = o.content_hash""",
+    "ordered_documents": "select document_id, row_number() over (order by updated_at desc, document_id) as position from documents where updated_at is not null qualify position <= 100",
     "delete_cascade": f"""
 with {BLOCKS}, {POSTS}, g as (select document_id from documents where source = 'wiki_export')
 select 'documents' as what, count(*) as n from documents where document_id not in (select * from g) union all select 'blocks', count(*) from b where document_id not in (select * from g)

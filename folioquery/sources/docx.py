@@ -99,7 +99,7 @@ def run_text(run: ElementTree.Element) -> str:
     return "".join(out)
 
 
-def paragraph(p: ElementTree.Element, styles: Styles) -> dict:
+def paragraph(p: ElementTree.Element, styles: Styles, lists: Numbering | None = None) -> dict:
     ppr = p.find(f"{W}pPr")
     style = ppr.find(f"{W}pStyle") if ppr is not None else None
     sid = style.get(f"{W}val", "") if style is not None else ""
@@ -112,7 +112,49 @@ def paragraph(p: ElementTree.Element, styles: Styles) -> dict:
         texts.append(t)
     font |= first or {}
     numbered = ppr is not None and ppr.find(f"{W}numPr") is not None
-    return {"text": "".join(texts).strip(), "level": styles.heading(sid) or font.get("outline", 0) % 10, "numbered": numbered, **{k: font[k] for k in ("font", "size", "bold", "italic")}}
+    kind, prefix = (lists.item(ppr) if lists else None) or (None, None)
+    return {"list_type": kind, "list_prefix": prefix, "text": "".join(texts).strip(), "level": styles.heading(sid) or font.get("outline", 0) % 10, "numbered": numbered, **{k: font[k] for k in ("font", "size", "bold", "italic")}}
+
+
+# What stands before an item of a list, by the format of its level.
+PREFIXES = {"decimal": "#.", "lowerLetter": "a.", "upperLetter": "A.", "lowerRoman": "i.", "upperRoman": "I."}
+BULLET_SIGNS = ("•", "◦", "▪")
+
+
+class Numbering:
+    """The lists of a document: (number, level) to the format of that level."""
+
+    def __init__(self, root: ElementTree.Element | None):
+        val = lambda x, tag: next((c.get(f"{W}val", "") for c in x.findall(W + tag)), "")
+        all_of = lambda tag: root.findall(W + tag) if root is not None else []
+        forms = {a.get(f"{W}abstractNumId"): {lv.get(f"{W}ilvl", ""): val(lv, "numFmt") for lv in a.findall(f"{W}lvl")} for a in all_of("abstractNum")}
+        self.of = {n.get(f"{W}numId"): forms.get(val(n, "abstractNumId")) for n in all_of("num")}
+
+    def item(self, ppr: ElementTree.Element | None) -> tuple[str, str] | None:
+        """(type, prefix) of a paragraph that is an item, else null. A level that
+        the list lacks has the format of its first."""
+        num = ppr.find(f"{W}numPr") if ppr is not None else None
+        if num is None:
+            return None
+        get = lambda tag, none: next((c.get(f"{W}val", none) for c in num.findall(W + tag)), none)
+        levels, at = self.of.get(get("numId", "0")), get("ilvl", "0")
+        if levels is None or get("numId", "0") == "0":
+            return None
+        kind = levels.get(at, next(iter(levels.values()), "decimal"))
+        deep = int(at) if at.isdigit() and int(at) < len(BULLET_SIGNS) else 0
+        return kind, BULLET_SIGNS[deep] if kind in ("bullet", "none") else PREFIXES.get(kind, "#.")
+
+
+def hyperlinks(root: ElementTree.Element, rels: ElementTree.Element | None) -> list[dict]:
+    """The links of a document: their text, and the target that the relationships
+    give or the anchor inside the document."""
+    rid = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    targets = {r.get("Id"): r.get("Target") for r in rels.iter() if r.get("Id")} if rels is not None else {}
+    out = []
+    for h in root.iter(f"{W}hyperlink"):
+        anchor = h.get(f"{W}anchor")
+        out.append({"text": "".join(run_text(r) for r in h.iter(f"{W}r")), "url": targets.get(h.get(rid)) or (f"#{anchor}" if anchor else None)})
+    return out
 
 
 def table_rows(tbl: ElementTree.Element, styles: Styles) -> list[list[str]]:
@@ -139,13 +181,14 @@ def _level(p: dict) -> int:
 
 
 def metadata(z: zipfile.ZipFile) -> dict:
-    out = {"page_count": 1, "title": None}
+    out: dict = {"page_count": 1, "title": None, "author": None, "created": None, "modified": None}
     if (app := _part(z, "docProps/app.xml")) is not None:
         for x in app.iter():
             if x.tag.endswith("}Pages") and (x.text or "").strip().isdigit():
                 out["page_count"] = max(1, int(x.text))
     if (core := _part(z, "docProps/core.xml")) is not None:
-        out["title"] = next((x.text for x in core.iter() if x.tag.endswith("}title") and x.text), None)
+        for key, tag in (("title", "title"), ("author", "creator"), ("created", "created"), ("modified", "modified")):
+            out[key] = next((x.text for x in core.iter() if x.tag.endswith("}" + tag) and x.text), None)
     return out
 
 
@@ -159,7 +202,7 @@ def blocks(data: bytes) -> list[dict]:
     body = root.find(f"{W}body") if root is not None else None
     if body is None:
         raise ParseError("no word/document.xml")
-    styles, meta = Styles(_part(z, "word/styles.xml")), metadata(z)
+    styles, meta, lists = Styles(_part(z, "word/styles.xml")), metadata(z), Numbering(_part(z, "word/numbering.xml"))
     found: list[dict] = []
     for x in _top(body):
         if x.tag == f"{W}tbl":
@@ -168,12 +211,12 @@ def blocks(data: bytes) -> list[dict]:
             if any(c for r in rows for c in r):
                 found.append({"type": "table", "content": text})
             continue
-        p = paragraph(x, styles)
+        p = paragraph(x, styles, lists)
         if not p["text"]:
             continue
         head = bool(p["level"]) or _looks_like_heading(p)
         kind = "list" if p["numbered"] or BULLET.match(p["text"]) else "heading" if head else "text"
-        found.append({"type": kind, "content": p["text"], "is_heading": head, "heading_level": (p["level"] or _level(p)) if head else 0, "font_name": p["font"], "font_size": p["size"], "bold": p["bold"], "italic": p["italic"]})
+        found.append({"type": kind, "content": p["text"], "list_type": p["list_type"], "list_prefix": p["list_prefix"], "is_heading": head, "heading_level": (p["level"] or _level(p)) if head else 0, "font_name": p["font"], "font_size": p["size"], "bold": p["bold"], "italic": p["italic"]})
     per = max(1, len(found) // meta["page_count"])
     section = None
     for i, b in enumerate(found):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioquery.functions.text import file_format
 from folioquery.functions.vectors import file_checksum
 
-PARSED = "path string, block_id string, sequence int, page int, type string, content string, is_heading boolean, heading_level int, font_name string, font_size double, bold boolean, italic boolean, x double, y double, width double, height double, section string, page_count int, title string, error string"
+PARSED = "path string, block_id string, sequence int, page int, type string, content string, is_heading boolean, heading_level int, font_name string, font_size double, bold boolean, italic boolean, x double, y double, width double, height double, section string, page_count int, title string, author string, created string, modified string, list_type string, list_prefix string, error string"
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.{pdf,docx}") -> DataFrame:
@@ -49,3 +49,9 @@ def parsed(found: DataFrame) -> DataFrame:
                 yield pd.DataFrame([{"path": path, **{n: r.get(n) for n in names[1:]}} for r in rows], columns=names).astype({n: "Int32" for n in ("sequence", "page", "heading_level", "page_count")})
 
     return found.select("path", "content").mapInPandas(run, PARSED)
+
+
+def page_texts(blocks: DataFrame) -> DataFrame:
+    """(path, page, text) of parsed rows: the contents of a page, one a line."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("sequence", "content"))), lambda x: x["content"])
+    return blocks.filter("error is null and content is not null").groupBy("path", "page").agg(F.array_join(lines, "\n").alias("text"))

@@ -7,6 +7,7 @@ Files that are encrypted, or whose streams use a filter that is not text's
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -455,6 +456,7 @@ class Font:
     widths: dict[int, float] = field(default_factory=dict)
     default_width: float = 500.0
     scale: float = 0.001
+    ascii: tuple[int, ...] = ()  # widths from code 32 on, of a font that brings none
 
     def codes(self, s: bytes) -> list[int]:
         return [int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s) - 1, 2)] if self.two_bytes else list(s)
@@ -469,7 +471,8 @@ class Font:
         return bytes([code]).decode(self.codec, "replace") if code >= 32 else ""
 
     def width(self, code: int) -> float:
-        return self.widths.get(code, self.default_width) * self.scale
+        known = self.ascii[code - 32] if 32 <= code < 32 + len(self.ascii) else self.default_width
+        return self.widths.get(code, known) * self.scale
 
 
 def cmap(data: bytes) -> dict[int, str]:
@@ -497,6 +500,27 @@ def cmap(data: bytes) -> dict[int, str]:
             held.append(x)
 
 
+# The published widths of the standard fonts' characters from 32 to 126.
+HELVETICA = tuple(map(int, """
+278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556
+1015 667 667 722 722 667 611 778 722 278 500 667 556 833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556
+333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584""".split()))
+TIMES = tuple(map(int, """
+250 333 408 500 500 833 778 180 333 333 500 564 250 333 250 278 500 500 500 500 500 500 500 500 500 500 278 278 564 564 564 444
+921 722 667 667 722 611 556 722 722 333 389 722 611 889 722 722 556 722 667 556 611 722 722 944 722 722 611 333 278 333 469 500
+333 444 500 444 500 444 333 500 500 278 278 500 278 778 500 500 500 500 333 389 278 500 500 722 500 500 444 480 200 480 541""".split()))
+
+
+def standard(name: str) -> tuple[tuple[int, ...], float]:
+    """Widths from code 32 on, and of all other characters, of a font of that
+    name without a table of its own: Courier is even, Times has its own, all
+    others count as Helvetica."""
+    name = name.rpartition("+")[2].lower()
+    if "courier" in name:
+        return (), 600.0
+    return (TIMES, 500.0) if "times" in name else (HELVETICA, 556.0)
+
+
 def font_of(f: File, ref) -> Font:
     d = f.get(ref)
     if not isinstance(d, dict):
@@ -535,6 +559,8 @@ def font_of(f: File, ref) -> Font:
                 code += 1
     first = f.get(d.get("FirstChar")) or 0
     font.widths = {first + k: float(f.get(v) or 0) for k, v in enumerate(f.get(d.get("Widths")) or [])}
+    if not font.widths:
+        font.ascii, font.default_width = standard(font.name)
     if kind == "Type3" and (m := f.get(d.get("FontMatrix"))):
         font.scale = abs(float(f.get(m[0])))
     return font
@@ -663,14 +689,19 @@ class Line:
 
 
 def lines(spans: list[Span]) -> list[Line]:
-    """Spans of one height make a line; lines from the top down."""
+    """Spans of one height make a line, the last begun of those near enough;
+    lines from the top down. Lines are found by their height, in steps of 4."""
     out: list[Line] = []
+    at: dict[int, list[int]] = {}
     for s in spans:
-        near = next((x for x in reversed(out[-40:]) if abs(x.first.y - s.y) <= max(2.0, 0.2 * s.size)), None)
-        if near:
-            near.spans.append(s)
-        else:
+        off = max(2.0, 0.2 * s.size)
+        steps = range(math.floor((s.y - off) / 4), math.floor((s.y + off) / 4) + 1)
+        near = max((k for h in steps for k in at.get(h, ()) if abs(out[k].first.y - s.y) <= off), default=None)
+        if near is None:
+            at.setdefault(math.floor(s.y / 4), []).append(len(out))
             out.append(Line([s]))
+        else:
+            out[near].spans.append(s)
     return sorted((x for x in out if x.text), key=lambda x: -x.first.y)
 
 
@@ -721,3 +752,26 @@ def blocks(data: bytes) -> list[dict]:
     for b in out:
         b["page_count"] = n_pages
     return out
+
+
+def page_texts(data: bytes) -> list[tuple[int, str]]:
+    """(page, text): the paragraphs of each page, one a line; the whole document
+    is these joined."""
+    out: dict[int, list[str]] = {}
+    for b in blocks(data):
+        out.setdefault(b["page"], []).append(b["content"])
+    return [(p, "\n".join(t)) for p, t in sorted(out.items())]
+
+
+def described(data: bytes) -> dict:
+    """Counts and properties without the texts: version, pages, objects, whether
+    encrypted or linearized, rotations and annotations by page, info entries."""
+    f = File(data)
+    info = f.get(f.trailer.get("Info"))
+    entries = {str(k): v.decode("cp1252", "replace") for k, raw in (info.items() if isinstance(info, dict) else ()) if isinstance(v := f.get(raw), bytes)}
+    pages = list(f.pages())
+    version = re.match(rb"%PDF-(\d\.\d)", data)
+    return {
+        "version": version.group(1).decode() if version else None, "pages": len(pages), "linearized": b"/Linearized" in data[:1024], "encrypted": "Encrypt" in f.trailer,
+        "rotations": [int(f.get(p.get("Rotate")) or 0) % 360 for p in pages], "annotations": [len(f.get(p.get("Annots")) or []) for p in pages], "info": entries,
+    }

@@ -1,11 +1,9 @@
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from folioquery.errors import ContextTooLong, EmptyInput, ProviderError
 from folioquery.functions.estimate import estimate
-from folioquery.functions.tokens import grouped
 from folioquery.operators import chunking as C
 from folioquery.operators import embedding as E
 
@@ -58,8 +56,11 @@ def test_rows(spark, rows):
 @pytest.mark.parametrize("alone", [False, True])
 def test_groups(spark, alone):
     sizes = [3, 4, 5, 20, 1, 1, 9, 10, 11, 2]
-    df = spark.createDataFrame([([(i, s) for i, s in enumerate(sizes)],)], "x array<struct<i:int,w:int>>")
-    got = df.select(grouped(F.col("x"), "w", 10, alone)).first()[0]
+    df = spark.createDataFrame([(g, i, s) for i, s in enumerate(sizes) for g in ("a", None, "b")], "g string, i int, w int").repartition(3)
+    chunks = C.grouped_rows(df, "g", ["i"], "w", 10, alone).collect()
+    by = {g: [r["chunk"] for r in sorted(chunks, key=lambda r: r["i"]) if r["g"] == g] for g in ("a", None, "b")}
+    got = by["a"]
+    assert got == by["b"] == by[None]
     want, group, used, n = [], 0, 0, 0
     for s in sizes:
         if alone and s > 10:
