@@ -163,6 +163,56 @@ r as (select *, row_number() over (partition by source, record, open order by (t
 select a.doc_id from r a left join r b on a.source is not distinct from b.source and a.record = b.record and b.r = 1 and not b.open
 where a.r = 1 and a.open and not (b.doc_id is not null and a.text is not distinct from b.text)"""
 
+WS = "[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]"
+INK = WS.replace("[", "[^", 1)
+
+
+def strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def windows(begin: str, stop: str, after: str) -> str:
+    """Chunks of every text by a step: from ``at``, where one stops, and where the
+    next begins."""
+    return f"""
+with recursive t as (select doc_id, text, length(text) as n from documents where regexp_matches(text, '{INK}')),
+w as (
+  select doc_id, text, n, fr, {stop} as stop from (select *, {begin} as fr from t)
+  union all
+  select doc_id, text, n, fr, {stop} as stop from (select doc_id, text, n, {after} as fr from w where stop < n))"""
+
+
+def last_of(pattern: str, part: str) -> str:
+    """Characters of a part before the last place of a pattern; null without one."""
+    return f"case when regexp_matches({part}, '{pattern}') then length(regexp_extract({part}, '(?s)^(.*)({pattern})', 1)) end"
+
+
+def cut_before(end: str) -> str:
+    part = f"substr(text, greatest(fr, {end} - 500) + 1, {end} - greatest(fr, {end} - 500))"
+    marks = {r"\n\n": 2, r"\. ": 2, r"\.\n": 2, r"\n": 1, " ": 1}
+    return f"greatest(fr, {end} - 500) + coalesce({', '.join(f'{last_of(m, part)} + {k}' for m, k in marks.items())})"
+
+
+def greedy(rows: str, keys: list[str], order: str, limit: int, alone: bool) -> str:
+    """g: rows with the number of their greedy group."""
+    big = f"o.tokens > {limit}" if alone else "false"
+    same = " and ".join(f"o.{k} is not distinct from g.{k}" for k in keys)
+    return f"""
+o as (select *, row_number() over (partition by {', '.join(keys)} order by {order}) as i from {rows}),
+g as (
+  select o.*, 0::bigint as chunk, case when {big} then {limit + 1} else o.tokens end as used from o where i = 1
+  union all
+  select o.*, case when {big} or g.used + o.tokens > {limit} then g.chunk + 1 else g.chunk end, case when {big} then {limit + 1} when g.used + o.tokens > {limit} then o.tokens else g.used + o.tokens end
+  from g join o on {same} and o.i = g.i + 1)"""
+
+
+def tail(text: str, size: int) -> str:
+    e = f"right({text}, {size})"
+    word = f"length(regexp_extract({e}, '^({INK}+){WS}', 1))"
+    whole = f"length({text}) <= {size} or {word} = 0 or 2 * {word} >= length({e}) - length({e}) % 2"
+    return f"case when {whole} then {e} else {strip(f'substr({e}, {word} + 1)')} end"
+
+
 SQL = {
     "block_split": """
 with l as (select doc_id, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '[^\\s\\p{Z}]')) as l from documents where text is not null),
@@ -303,6 +353,37 @@ from b window w as (partition by document_id order by sequence, block_id)""",
     "metadata_join": f"""
 with {HITS} select branch, query_id, best.document_id, block_id, d.name as document_name, d.source, d.external_id, d.lang from best left join documents d on d.document_id = best.document_id""",
     "image_blocks": f"with {BLOCKS} select document_id, block_id, 'images/' || document_id || '_' || block_id || '.png' as images from b where type = 'image' and section is not null",
+    "chunk_tokens": f"""{windows('0', "case when fr + 512 >= n then n else coalesce(fr + 257 + " + last_of(WS, 'substr(text, fr + 258, 256)') + ", fr + 512) end", 'case when stop - 64 > fr then stop - 64 else stop end')},
+c as (select *, {strip('substr(text, fr + 1, stop - fr)')} as content from w)
+select doc_id, (row_number() over (partition by doc_id order by fr) - 1)::int as chunk_idx, content, fr::int as start_idx, stop::int as end_idx, {estimate('content')} as token_count from c where content <> ''""",
+    "chunk_text": f"""{windows('0', f"case when fr + 1000 >= n then n else coalesce(nullif(greatest({cut_before('(fr + 1000)')}, fr), fr), fr + 1000) end", 'case when stop - 100 > fr then stop - 100 else stop end').replace(f"where regexp_matches(text, '{INK}')", "where text <> ''")},
+c as (select *, substr(text, fr + 1, stop - fr) as content from w)
+select doc_id, (row_number() over (partition by doc_id order by fr) - 1)::int as chunk_idx, content, fr::int as start_idx, stop::int as end_idx, {estimate('content')} as token_count from c""",
+    "chunk_blocks": f"""
+with recursive {BLOCKS}, r as (select document_id, sequence, block_id, {estimate('content')} + {estimate('section')} as tokens from b), {greedy('r', ['document_id'], 'sequence, block_id', 64, True)}
+select document_id, sequence, block_id, tokens, chunk from g""",
+    "chunk_hits": f"""
+with recursive {BLOCKS}, {HITS}, k as (select *, row_number() over (partition by query_id, branch order by score desc, document_id, block_id) as rank from best),
+r as (select k.branch, query_id, rank, {estimate('b.content')} as tokens from k join b on k.document_id = b.document_id and k.block_id = b.block_id), {greedy('r', ['branch', 'query_id'], 'rank', 64, False)}
+select branch, query_id, rank, tokens, chunk from g""",
+    "chunk_paragraph": f"""
+with recursive p as (select doc_id, text, unnest(regexp_split_to_array(text, E'\\n\\n')) as p, generate_subscripts(regexp_split_to_array(text, E'\\n\\n'), 1) as pi from documents where regexp_matches(text, '{INK}')),
+s as (select doc_id, text, pi, case when {estimate(strip('p'))} > 200 then regexp_split_to_array({strip('p')}, E'\\n') else [{strip('p')}] end as l from p),
+q as (select doc_id, text, pi, unnest(l) as u, generate_subscripts(l, 1) as ui from s),
+o as (select doc_id, text, {strip('u')} as u, {estimate(strip('u'))} as n, row_number() over (partition by doc_id order by pi, ui) as i from q where regexp_matches(u, '{INK}')),
+g as (
+  select doc_id, text, i, u as held, strpos(text, u) - 1 as bg, strpos(text, u) - 1 + length(u) as ed, null::varchar as body, 0::bigint as b0, 0::bigint as b1 from o where i = 1
+  union all
+  select doc_id, text, i, case when full_ then case when lap <> '' then lap || '  ' || u else u end else held || ' ' || u end as held,
+    case when not full_ then bg when lap <> '' or found = 0 then ed else ed + found - 1 end as bg, case when found > 0 then ed + found - 1 + length(u) else ed end as ed,
+    case when full_ then {strip('held')} end as body, bg as b0, ed as b1
+  from (
+    select g.doc_id, g.text, o.i, o.u, g.held, g.bg, g.ed, {estimate('g.held')} + o.n > 128 as full_, {tail(strip('g.held'), 200)} as lap, strpos(substr(g.text, g.ed + 1), o.u) as found
+    from g join o on o.doc_id = g.doc_id and o.i = g.i + 1)),
+e as (
+  select doc_id, i, body, b0, b1 from g where body is not null
+  union all select doc_id, i + 1, {strip('held')}, bg, ed from g where i = (select max(i) from o where o.doc_id = g.doc_id))
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_idx, body as content, b0::int as start_idx, b1::int as end_idx, {estimate('body')} as token_count from e""",
     "combine_blocks": f"""
 with {BLOCKS} select document_id, sequence // 5 as part, string_agg(trim(content), E'\\n\\n' order by sequence, trim(content)) as text from b where trim(content) <> '' group by 1, 2""",
     "content_hash": f"""
