@@ -596,6 +596,11 @@ def parsed_files(spark, d):
     return files.parsed(maker.made(docs(spark, d).filter("text is not null").select("doc_id", "text"))).select("path", "sequence", "type", "content", "error")
 
 
+def parsed_texts(spark, d):
+    """The contents of parsed_files."""
+    return parsed_files(spark, d).select("path", "sequence", "content", "error")
+
+
 def stream_last_event(spark, d):
     from folioquery.streaming import ingest
 

@@ -3,6 +3,7 @@ tables as views."""
 
 from __future__ import annotations
 
+from folioquery.operators.chunking import ABBREVIATIONS
 from folioquery.functions.text import BULLETS, DESCRIBED, DROPPED, QUERY_KINDS, REPLACED, STOP_WORDS, SUGGESTED
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -163,6 +164,7 @@ r as (select *, row_number() over (partition by source, record, open order by (t
 select a.doc_id from r a left join r b on a.source is not distinct from b.source and a.record = b.record and b.r = 1 and not b.open
 where a.r = 1 and a.open and not (b.doc_id is not null and a.text is not distinct from b.text)"""
 
+CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") for b in range(128, 160))
 WS = "[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]"
 INK = WS.replace("[", "[^", 1)
 
@@ -213,6 +215,39 @@ def tail(text: str, size: int) -> str:
     return f"case when {whole} then {e} else {strip(f'substr({e}, {word} + 1)')} end"
 
 
+def merged(units: str, limit: int, lap: int) -> str:
+    """Chunks of units ``q`` (doc_id, text, pi, ui, u), joined greedily with an overlap."""
+    return f"""
+with recursive {units},
+o as (select doc_id, text, {strip('u')} as u, {estimate(strip('u'))} as n, row_number() over (partition by doc_id order by pi, ui) as i from q where regexp_matches(u, '{INK}')),
+g as (
+  select doc_id, text, i, u as held, strpos(text, u) - 1 as bg, strpos(text, u) - 1 + length(u) as ed, null::varchar as body, 0::bigint as b0, 0::bigint as b1 from o where i = 1
+  union all
+  select doc_id, text, i, case when full_ then case when lap <> '' then lap || '  ' || u else u end else held || ' ' || u end as held,
+    case when not full_ then bg when lap <> '' or found = 0 then ed else ed + found - 1 end as bg, case when found > 0 then ed + found - 1 + length(u) else ed end as ed,
+    case when full_ then {strip('held')} end as body, bg as b0, ed as b1
+  from (
+    select g.doc_id, g.text, o.i, o.u, g.held, g.bg, g.ed, {estimate('g.held')} + o.n > {limit} as full_, {tail(strip('g.held'), 4 * lap)} as lap, strpos(substr(g.text, g.ed + 1), o.u) as found
+    from g join o on o.doc_id = g.doc_id and o.i = g.i + 1)),
+e as (
+  select doc_id, i, body, b0, b1 from g where body is not null
+  union all select doc_id, i + 1, {strip('held')}, bg, ed from g where i = (select max(i) from o where o.doc_id = g.doc_id))
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_idx, body as content, b0::int as start_idx, b1::int as end_idx, {estimate('body')} as token_count from e"""
+
+
+PARAGRAPHS = f"""
+p as (select doc_id, text, unnest(regexp_split_to_array(text, E'\\n\\n')) as p, generate_subscripts(regexp_split_to_array(text, E'\\n\\n'), 1) as pi from documents where regexp_matches(text, '{INK}')),
+s as (select doc_id, text, pi, case when {estimate(strip('p'))} > 200 then regexp_split_to_array({strip('p')}, E'\\n') else [{strip('p')}] end as l from p),
+q as (select doc_id, text, pi, unnest(l) as u, generate_subscripts(l, 1) as ui from s)"""
+ABBREVIATED = "(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + ")$"
+SENTENCES = f"""
+ch as (select doc_id, text, unnest(generate_series(1, length(text))) as i from documents where regexp_matches(text, '{INK}')),
+cut as (
+  select doc_id, text, i from ch where contains('.!?', text[i]) and (i = length(text) or not (regexp_matches(text[i + 1], '\\p{{L}}')
+    or (text[i] = '.' and regexp_matches(lower({strip('substr(text, greatest(i - 8, 1), i - greatest(i - 8, 1) + 1)')}), '{ABBREVIATED}')))) union select doc_id, text, length(text) from ch),
+q as (select doc_id, text, i as pi, 0 as ui, substr(text, coalesce(lag(i) over w, 0) + 1, i - coalesce(lag(i) over w, 0)) as u from cut window w as (partition by doc_id order by i))"""
+
+
 SQL = {
     "block_split": """
 with l as (select doc_id, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '[^\\s\\p{Z}]')) as l from documents where text is not null),
@@ -366,24 +401,8 @@ select document_id, sequence, block_id, tokens, chunk from g""",
 with recursive {BLOCKS}, {HITS}, k as (select *, row_number() over (partition by query_id, branch order by score desc, document_id, block_id) as rank from best),
 r as (select k.branch, query_id, rank, {estimate('b.content')} as tokens from k join b on k.document_id = b.document_id and k.block_id = b.block_id), {greedy('r', ['branch', 'query_id'], 'rank', 64, False)}
 select branch, query_id, rank, tokens, chunk from g""",
-    "chunk_paragraph": f"""
-with recursive p as (select doc_id, text, unnest(regexp_split_to_array(text, E'\\n\\n')) as p, generate_subscripts(regexp_split_to_array(text, E'\\n\\n'), 1) as pi from documents where regexp_matches(text, '{INK}')),
-s as (select doc_id, text, pi, case when {estimate(strip('p'))} > 200 then regexp_split_to_array({strip('p')}, E'\\n') else [{strip('p')}] end as l from p),
-q as (select doc_id, text, pi, unnest(l) as u, generate_subscripts(l, 1) as ui from s),
-o as (select doc_id, text, {strip('u')} as u, {estimate(strip('u'))} as n, row_number() over (partition by doc_id order by pi, ui) as i from q where regexp_matches(u, '{INK}')),
-g as (
-  select doc_id, text, i, u as held, strpos(text, u) - 1 as bg, strpos(text, u) - 1 + length(u) as ed, null::varchar as body, 0::bigint as b0, 0::bigint as b1 from o where i = 1
-  union all
-  select doc_id, text, i, case when full_ then case when lap <> '' then lap || '  ' || u else u end else held || ' ' || u end as held,
-    case when not full_ then bg when lap <> '' or found = 0 then ed else ed + found - 1 end as bg, case when found > 0 then ed + found - 1 + length(u) else ed end as ed,
-    case when full_ then {strip('held')} end as body, bg as b0, ed as b1
-  from (
-    select g.doc_id, g.text, o.i, o.u, g.held, g.bg, g.ed, {estimate('g.held')} + o.n > 128 as full_, {tail(strip('g.held'), 200)} as lap, strpos(substr(g.text, g.ed + 1), o.u) as found
-    from g join o on o.doc_id = g.doc_id and o.i = g.i + 1)),
-e as (
-  select doc_id, i, body, b0, b1 from g where body is not null
-  union all select doc_id, i + 1, {strip('held')}, bg, ed from g where i = (select max(i) from o where o.doc_id = g.doc_id))
-select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_idx, body as content, b0::int as start_idx, b1::int as end_idx, {estimate('body')} as token_count from e""",
+    "chunk_paragraph": merged(PARAGRAPHS, 128, 50),
+    "chunk_sentence": merged(SENTENCES, 128, 16),
     "combine_blocks": f"""
 with {BLOCKS} select document_id, sequence // 5 as part, string_agg(trim(content), E'\\n\\n' order by sequence, trim(content)) as text from b where trim(content) <> '' group by 1, 2""",
     "content_hash": f"""
@@ -453,6 +472,16 @@ union all select 'hash', d.document_id from documents d join o on d.content_hash
 with {BLOCKS}, {POSTS}, g as (select document_id from documents where source = 'wiki_export')
 select 'documents' as what, count(*) as n from documents where document_id not in (select * from g) union all select 'blocks', count(*) from b where document_id not in (select * from g)
 union all select 'postings', count(*) from p where document_id not in (select * from g)""",
+    "parsed_texts": f"""
+with t as (
+  select 'doc_' || doc_id || (case when doc_id % 2 <> 0 then '.pdf' else '.docx' end) as path, doc_id % 2 <> 0 as pdf,
+    regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as l from documents where text is not null),
+e as (select path, pdf, generate_subscripts(l, 1) as i, unnest(l) as x from t),
+x as (select path, i, case when pdf then regexp_replace(regexp_replace({strip('x')}, '[^\\x00-\\x7f\\x{{a0}}-\\x{{ff}}{CP1252}]', '?', 'g'), '[\\x00-\\x1f]', '', 'g')
+  else regexp_replace({strip('x')}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{fffe}}\\x{{ffff}}]', '', 'g') end as x from e where regexp_matches(x, '{INK}')),
+c as (select path, i, {strip('x')} as content from x where regexp_matches(x, '{INK}'))
+select path, (row_number() over (partition by path order by i) - 1)::int as sequence, content, null::varchar as error from c
+union all select distinct path, null::int, null, null from t where path not in (select path from c)""",
     "stream_last_event": "select event_type, max(ts) as last from events group by 1",
     "p5_found": P5,
 }
