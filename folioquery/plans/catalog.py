@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioquery.functions import text as T
 from folioquery.functions import tokens as K
 from folioquery.functions import vectors as V
-from folioquery.operators import chunking, embedding, incremental, lifecycle, search, store, unified
+from folioquery.operators import chunking, embedding, incremental, lifecycle, search, store, unified, vectorindex
 from folioquery.operators import filters as flt
 from folioquery.operators import index as ix
 from folioquery.plans.oracle import SQL
@@ -406,6 +406,19 @@ def combine_blocks(spark, d):
     return chunking.combined(b, ["document_id", "part"], "sequence", "content")
 
 
+def vector_index(spark, d):
+    """Whether the persistent index finds nine tenths of the five nearest."""
+    q, v = _asking(spark, d)
+    one = F.col("model") == "quill-embed-96"
+    index = vectorindex.VectorIndex(spark, new_path(spark, "vectors"), 96, cell_size=200)
+    late = F.pmod(F.col("vec_id"), F.lit(10)) == 0
+    index.build(v.filter(one & ~late))
+    index.add(v.filter(one & late))
+    got = index.search(q.filter(one).select("query_id", "vector"), 6, probes=24).filter("query_id <> vec_id").select("query_id", "vec_id")
+    want = search.nearest(q.filter(one), v.filter(one), 5, least=0.5).select("query_id", "vec_id")
+    return want.join(got.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").agg((F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("enough"))
+
+
 # --- lifecycle --------------------------------------------------------------------
 def content_hash(spark, d):
     return lifecycle.content_hashes(blocks(spark, d))

