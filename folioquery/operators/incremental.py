@@ -74,7 +74,7 @@ class ChangedPartitions:
             out = done.withColumn("blank", F.lit(False)).unionByName(blank, allowMissingColumns=True)
             out = out.repartition("part")  # one file a partition
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/result")
-        self.commits.add({"prints": prints}, state)
+        self.commits.add({"prints": prints, "rows": now.agg(F.sum("n")).first()[0] or 0}, state)
         delete(self.spark, at)
         if state:
             delete(self.spark, f"{self.path}/{state['prints']}")
@@ -85,7 +85,10 @@ class ChangedPartitions:
         schema = f"{self.schema}, blank boolean, part long"
         if not path_exists(self.spark, f"{self.path}/result"):
             return self.spark.createDataFrame([], schema).drop("blank", "part")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/result").filter(~F.col("blank")).drop("blank", "part")
+        found = self.spark.read.schema(schema).parquet(f"{self.path}/result")
+        # small files are read together, by as many tasks as there are cores or quarter millions of rows
+        tasks = max(self.spark.sparkContext.defaultParallelism, self.commits.last().get("rows", 0) // 250_000)
+        return found.coalesce(tasks).filter(~F.col("blank")).drop("blank", "part")
 
 
 ROW = "struct<none: boolean, changed: timestamp_ntz, doc_id: long, digest: string>"
