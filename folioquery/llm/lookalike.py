@@ -88,31 +88,47 @@ def _first_signs() -> dict[str, str]:
     return {chr(c): s for c, s in _rules()[0].items() if chr(c) != s}
 
 
+@cache
+def _classes() -> tuple[list[list[str]], Counter]:
+    """The strings that look the same, by union-find over the edges, and how many
+    edges name each as the plain form."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    prior: Counter = Counter()
+    for a, b in _rules()[1]:
+        prior[a if len(b) == 1 and ord(a) < ord(b) else b] += 1
+        root[find(a)] = find(b)
+    classes: dict[str, list[str]] = {}
+    for x in list(root):
+        classes.setdefault(find(x), []).append(x)
+    return list(classes.values()), prior
+
+
+def _contested() -> list[str]:
+    """The members whose frequency can decide: the longest of their class, where
+    these are several."""
+    out = []
+    for members in _classes()[0]:
+        size = max(map(len, members))
+        longest = [x for x in members if len(x) == size]
+        out += longest if len(longest) > 1 else []
+    return sorted(out)
+
+
 class Forms:
     """The classes and the automaton that rewrites texts to them."""
 
     def __init__(self, frequency: dict[str, int] | None = None):
-        """frequency: occurrences of each string in the corpus; without it, the
-        second member of an edge's pair counts as the rarer one."""
-        edges = _rules()[1]
         frequency = frequency or {}
-        root: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        prior: Counter = Counter()
-        for a, b in edges:
-            prior[a if len(b) == 1 and ord(a) < ord(b) else b] += 1
-            root[find(a)] = find(b)
-        classes: dict[str, list[str]] = {}
-        for x in list(root):
-            classes.setdefault(find(x), []).append(x)
+        classes, prior = _classes()
         self.form: dict[str, str] = {}
-        for members in classes.values():
+        for members in classes:
             size = max(map(len, members))
             best = max((x for x in members if len(x) == size), key=lambda x: (frequency.get(x, 0), prior[x], -ord(x[0])))
             self.form |= {x: best for x in members if x != best}
@@ -177,7 +193,7 @@ def default_forms() -> Forms:
 def corpus_forms(*texts: DataFrame) -> Forms:
     """Forms with the representatives most frequent in all of the one-column
     frames given. To the driver comes one count per member of a class."""
-    members = sorted({x for e in _rules()[1] for x in e})
+    members = _contested()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
