@@ -33,8 +33,9 @@ PROBES = 2048  # rows a task places at once; each becomes a row per cell it visi
 SHIFT = 40  # a cell's number is its part and its node
 BLOCKS = 1 << 15
 NEVER = -(2**62)
-MATCHED = "a long, b long, cut long"
-ROWS = "cell long, blk int, asks boolean, id long, after long, most long, proj binary"
+MATCHED = "a long, b long, cut long, cell long, blk int"
+ROWS = "cell long, blk int, role tinyint, id long, after long, most long, proj binary"
+LOOKED, ASKS, BOTH = 0, 1, 2
 
 
 def directions(dim: int, m: int, seed: int = 11) -> np.ndarray:
@@ -220,12 +221,10 @@ def grid_of(sizes: dict[int, int], asks: dict[int, int] | None, block: int) -> d
     return {c: (math.ceil(n / block), math.ceil((n if asks is None else asks.get(c, 1)) / block)) for c, n in sizes.items() if n > block}
 
 
-def fitted(points: DataFrame, m: int, leaf_size: int, block: int = 16_384) -> Cells:
-    """Cells for points that are all there; cells over ``block`` are counted."""
-    cells = Cells(m, grown({}, points, m, leaf_size))
-    if points.count() > block:
-        big = placed(points.select("part", "proj"), cells.trees, m).groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-        cells.grid = grid_of({r["cell"]: r["n"] for r in big.collect()}, None, block)
+def gridded(home: DataFrame, cells: Cells, block: int = 16_384) -> Cells:
+    """cells with the blocks of those over ``block`` of home's points (cell)."""
+    big = home.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    cells.grid = grid_of({r["cell"]: r["n"] for r in big.collect()}, None, block)
     return cells
 
 
@@ -233,18 +232,30 @@ def _cut(ids: np.ndarray, n) -> np.ndarray:
     return ((ids * 2654435761) >> 7) % n
 
 
-def residents(rows: DataFrame, grid: dict[int, tuple[int, int]]) -> DataFrame:
-    """ROWS of points (cell, id, proj) that are only looked at: one for every
-    block of probes."""
-    null = F.lit(0).cast("long")
+def residents(rows: DataFrame, grid: dict[int, tuple[int, int]], most: int | None = None) -> DataFrame:
+    """ROWS of points (cell, id, proj) to be looked at: one for every block of
+    probes. With ``most`` they also ask in their own cell, but where it has blocks."""
+    role, none = F.lit(LOOKED if most is None else BOTH), F.lit(0).cast("long")
+    blk: Column = F.lit(0)
     if grid:
         table = rows.sparkSession.createDataFrame([(c, r, q) for c, (r, q) in grid.items()], "cell long, rb int, qb int")
         rb = F.pmod(F.xxhash64("id"), F.col("rb"))
-        blk: Column = F.explode(F.when(F.col("rb").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda q: rb * BLOCKS + q)))
-        rows = rows.join(table, "cell", "left").select("cell", blk.alias("blk"), "id", "proj")
-    else:
-        rows = rows.select("cell", F.lit(0).alias("blk"), "id", "proj")
-    return rows.select("cell", F.col("blk").cast("int").alias("blk"), F.lit(False).alias("asks"), "id", null.alias("after"), null.alias("most"), "proj")
+        role = F.when(F.col("rb").isNull(), role).otherwise(LOOKED)
+        blk = F.explode(F.when(F.col("rb").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda q: rb * BLOCKS + q)))
+        rows = rows.join(table, "cell", "left")
+    rows = rows.select("cell", blk.alias("blk"), role.cast("tinyint").alias("role"), "id", none.alias("after"), F.lit(most or 0).cast("long").alias("most"), "proj")
+    return rows.withColumn("blk", F.col("blk").cast("int"))
+
+
+def further(marks: DataFrame, asks: DataFrame) -> DataFrame:
+    """ROWS of the probes that go on in a cell: marks (id, cell, blk, cut) of a
+    round, and what asked (id, proj, most)."""
+    return marks.join(asks.select("id", "proj", "most"), "id").select("cell", "blk", F.lit(ASKS).cast("tinyint").alias("role"), "id", F.col("cut").alias("after"), "most", "proj")
+
+
+def looked_at(home: DataFrame, rows: DataFrame) -> DataFrame:
+    """The points of the cells that rows ask in."""
+    return home.join(rows.select("cell").distinct(), "cell", "left_semi")
 
 
 def probes(queries: DataFrame, cells: Cells, eps: float, offsets: tuple[int, ...] = (0,), also_home: bool = True, only_home: bool = False) -> DataFrame:
@@ -282,7 +293,7 @@ def probes(queries: DataFrame, cells: Cells, eps: float, offsets: tuple[int, ...
                 rb = np.arange(len(rep)) - np.repeat(np.cumsum(kr) - kr, kr)
                 blk = np.where(big[rep], rb * BLOCKS + _cut(ids[q[rep]], kq[rep]), 0)
                 q, c = q[rep], c[rep]
-            yield pd.DataFrame({"cell": c, "blk": blk.astype(np.int32), "asks": True, "id": ids[q], "after": f["after"].to_numpy()[q], "most": f["most"].to_numpy()[q], "proj": f["proj"].to_numpy()[q]})
+            yield pd.DataFrame({"cell": c, "blk": blk.astype(np.int32), "role": np.int8(ASKS), "id": ids[q], "after": f["after"].to_numpy()[q], "most": f["most"].to_numpy()[q], "proj": f["proj"].to_numpy()[q]})
 
     return queries.select("part", "id", "proj", "after", "most", "reach").mapInPandas(run, ROWS)
 
@@ -303,21 +314,27 @@ def hits(q: np.ndarray, r: np.ndarray, most: np.ndarray, chunk: int = 512) -> It
 def _grouped(rows: DataFrame, m: int, pick: Callable) -> DataFrame:
     """Call ``pick`` for the hits of the probes of each cell and block. It has the
     probes' and points' ids, the pairs' places, their steps, and ``after``; it gives
-    (which pairs, which of them end a list that goes on, the marks of these)."""
+    the pairs to keep, and the marks of the lists that go on."""
 
     def match(f: pd.DataFrame) -> pd.DataFrame:
-        asks = f["asks"].to_numpy()
-        r, q = f[~asks].sort_values("id"), f[asks]
+        role = f["role"].to_numpy()
+        r, q = f[role != ASKS], f[role != LOOKED]
         pairs, cuts = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         if len(r) and len(q):
-            rid, qid, after = r["id"].to_numpy(), q["id"].to_numpy(), q["after"].to_numpy()
-            for a, b, d in hits(matrix(q["proj"], m), matrix(r["proj"], m), q["most"].to_numpy()):
+            rid = r["id"].to_numpy()
+            order = np.argsort(rid, kind="stable")
+            x, rid, qid, after = matrix(r["proj"], m)[order], rid[order], q["id"].to_numpy(), q["after"].to_numpy()
+            for a, b, d in hits(matrix(q["proj"], m), x, q["most"].to_numpy()):
                 for found, marks in pick(qid, rid, after, a, b, d):
                     pairs.append(found)
                     cuts.append(marks)
         p, c = np.concatenate(pairs), np.concatenate(cuts)
-        none = lambda n: pd.array([None] * n, "Int64")
-        return pd.concat([pd.DataFrame({"a": p[:, 0], "b": pd.array(p[:, 1], "Int64"), "cut": none(len(p))}), pd.DataFrame({"a": c[:, 0], "b": none(len(c)), "cut": pd.array(c[:, 1], "Int64")})], ignore_index=True)
+        none = np.ones(len(p) + len(c), bool)
+        none[: len(p)] = False
+        value = lambda v, hole: pd.arrays.IntegerArray(v.astype(np.int64), hole)
+        zero = np.zeros(len(p), np.int64)
+        place = value(np.full(len(none), f["cell"].iloc[0] if len(f) else 0), ~none)
+        return pd.DataFrame({"a": np.concatenate([p[:, 0], c[:, 0]]), "b": value(np.concatenate([p[:, 1], c[:, 0]]), none), "cut": value(np.concatenate([zero, c[:, 1]]), ~none), "cell": place, "blk": np.full(len(none), f["blk"].iloc[0] if len(f) else 0, np.int32)})
 
     return rows.groupBy("cell", "blk").applyInPandas(match, MATCHED)
 
