@@ -34,12 +34,11 @@ def shortened(text: str | None, size: int = 80) -> str:
 
 def asked(store, text: str, agent: bool = False):
     """Rows of a search of one text."""
-    from folioquery.operators import embedding, unified
-
-    v = store.table("vectors")
     from pyspark.sql import functions as F
 
-    v = v.withColumn("vec_id", F.xxhash64("document_id", "block_id", "chunk_idx", "model"))
+    from folioquery.operators import embedding, unified
+
+    v = store.table("vectors").withColumn("vec_id", F.xxhash64("document_id", "block_id", "chunk_idx", "model"))
     t = unified.Tables(store.table("documents"), store.table("blocks"), store.table("postings"), store.table("stats"), v, store.table("tags"))
     q = session().createDataFrame([(0, text)], "query_id long, query_text string")
     o = unified.Options(stemming=True, metadata=True, context_window=1 if agent else 0)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioquery import schemas as S
@@ -221,7 +221,5 @@ def ordered(blocks: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     keeps limit + offset rows a task."""
     order = [F.asc("document_id"), F.asc("sequence"), F.asc("block_id")]
     page = blocks.orderBy(*order).limit(limit + offset)
-    from pyspark.sql import Window
-
     at = page.withColumn("position", F.row_number().over(Window.orderBy(*order)))  # limit + offset rows
     return at.filter(F.col("position") > offset)

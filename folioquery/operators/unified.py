@@ -7,9 +7,9 @@ texts, snippets, context, images of their section, metadata and tags."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery.errors import InvalidQuery
@@ -130,8 +130,6 @@ def search_store(queries: DataFrame, tables: Tables, o: Options = Options(), pro
 
 def search_in_document(document_id: str, queries: DataFrame, tables: Tables, o: Options = Options(), provider: embedding.Provider | None = None) -> DataFrame:
     """search_store within one document."""
-    from dataclasses import replace
-
     return search_store(queries, tables, replace(o, where=replace(o.where, document_ids=[document_id])), provider)
 
 
@@ -145,8 +143,6 @@ def for_agents(queries: DataFrame, tables: Tables, o: Options = Options(), provi
         n = n + F.aggregate(F.transform(F.coalesce("context", F.array().cast("array<struct<at:int,block_id:string,content:string>>")), lambda x: K.estimate(x["content"])), F.lit(0), lambda a, x: a + x)
     kind = T.query_kind(F.col("query_text"))
     s = s.withColumns({"tokens": n.cast("int"), "kind": kind, "mode": T.suggested_mode(kind)})
-    from pyspark.sql import Window
-
     return s.withColumn("total_tokens", F.sum("tokens").over(Window.partitionBy("query_id")))
 
 
@@ -154,8 +150,6 @@ def diagnosed(queries: DataFrame, tables: Tables, o: Options = Options(), provid
     """(query_id, keyword_results, vector_results, returned, filtered_by_score):
     how the answer to every query came about. Results of a branch are those that
     entered the fusion."""
-    from dataclasses import replace
-
     kept = None if o.where.is_empty() else o.where.apply(tables.documents, tables.tags, tables.vectors).select("document_id").distinct()
     n = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
     out = queries.select("query_id").distinct().join(n(search.top(keyword_hits(queries, tables, kept, o), 2 * o.max_results), "keyword_results"), "query_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
@@ -584,8 +585,6 @@ def lookups(spark, d):
 
 def ordered_documents(spark, d):
     """Documents by time of change, the newest first, with their place."""
-    from pyspark.sql import Window
-
     x = docs(spark, d).filter("updated_at is not null").orderBy(F.desc("updated_at"), "document_id").limit(100)
     return x.select("document_id", F.row_number().over(Window.orderBy(F.desc("updated_at"), "document_id")).alias("position"))
 
@@ -631,7 +630,7 @@ def p5_found(spark, d):
     return incremental.next_run(x, runs, at).select("doc_id")
 
 
-HELPERS = {"docs", "blocks", "posts", "stats", "tags", "vecs", "one_query", "bm25", "table", "new_path", "written", "queries", "oracle_sql"}
+HELPERS = {"Window", "docs", "blocks", "posts", "stats", "tags", "vecs", "one_query", "bm25", "table", "new_path", "written", "queries", "oracle_sql"}
 
 
 def queries() -> dict:
