@@ -6,12 +6,16 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery.errors import InvalidQuery
 from folioquery.functions import text as T
 from folioquery.operators import index as I
+from folioquery.operators.filters import restricted
+from folioquery.session import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 BOOST = 1.5
@@ -49,6 +53,134 @@ def bm25(queries: DataFrame, posts: DataFrame, stats: DataFrame, stop_words: boo
     return hits.groupBy("query_id", "document_id", "block_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score"))
 
 
+def best(queries: DataFrame, posts: DataFrame, stats: DataFrame, n: int, stop_words: bool = True, stemming: bool = False, kept: DataFrame | None = None, blocks: DataFrame | None = None, min_score: float | None = None, factor: float = BOOST, part: int = 524_288) -> DataFrame:
+    """(query_id, document_id, block_id, score, rank): ``top(bm25(..), n)`` for many
+    queries, without a row for every pair of a query and a block that it finds,
+    which grow as the queries times the postings. ``kept``: only blocks of these
+    documents count. ``blocks``: scores are boosted as by ``boosted``.
+
+    Queries with the same terms are one. Blocks are split into parts of about
+    ``part`` postings. Each part adds up the scores of one set of terms after
+    another in an array with a place for every block, so only the best n of a
+    part meet in a shuffle.
+    """
+    terms = query_terms(queries, stop_words, stemming)
+    word = F.array_join(F.transform("words", lambda x: F.concat_ws(" ", x["term"], x["times"].cast("string"))), " ")  # terms have no blanks
+    asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("words")).withColumn("key", word)
+    asked = written(asked, "asked")
+    sets = asked.groupBy("key").agg(F.first("words").alias("words")).withColumn("lead", F.monotonically_increasing_id())
+    sets = written(sets, "sets")
+    w = weighted(posts.join(terms.select("term").distinct(), "term", "left_semi"), stats)
+    w = w if kept is None else restricted(w, kept)
+    gain = F.lit(1.0)
+    if blocks is not None:
+        w = w.join(blocks.select("document_id", "block_id", "is_heading"), ["document_id", "block_id"])
+        gain = F.when(F.coalesce("is_heading", F.lit(False)), F.lit(factor)).otherwise(1.0)
+    w = written(w.select("term", "document_id", "block_id", "weight", gain.alias("gain")), "weights")
+    parts = max(1, -(-w.count() // part))
+    p = w.withColumn("part", F.pmod(F.xxhash64("document_id", "block_id"), F.lit(parts)))
+    s = sets.select("lead", F.col("words.term").alias("term"), F.col("words.times").alias("times"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    schema = "lead long, document_id string, block_id string, score double"
+    found = p.groupBy("part").cogroup(s.groupBy("part")).applyInArrow(_scored(n, min_score, max(1.0, factor) if blocks is not None else 1.0), schema)
+    found = top(found, n, "lead")
+    return asked.select("query_id", "key").join(sets.select("key", "lead"), "key").join(found, "lead").select("query_id", "document_id", "block_id", "score", "rank")
+
+
+def _first(at: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n largest of s with their places, which ascend; equal ones by place.
+    NaN is the largest, as it is in a sort of Spark."""
+    k = np.where(np.isnan(s), np.inf, s)
+    if len(k) > n:
+        kth = np.partition(k, len(k) - n)[len(k) - n]
+        more = np.flatnonzero(k > kth)
+        i = np.sort(np.concatenate([more, np.flatnonzero(k == kth)[: n - len(more)]]))
+        at, s, k = at[i], s[i], k[i]
+    order = np.argsort(-k, kind="stable")
+    return at[order], s[order]
+
+
+def _scored(n: int, min_score: float | None, most: float):
+    """What ``best`` does with a part: (postings, sets of terms) -> the best n of
+    each set. ``most``: no gain is above."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        order = pc.sort_indices(left, sort_keys=[("document_id", "ascending"), ("block_id", "ascending")])
+        t = left.take(order).combine_chunks()
+        doc, blk = (pc.fill_null(t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c], "") for c in ("document_id", "block_id"))
+        rows = len(doc)
+        if rows:
+            fresh = np.append(True, pc.or_(pc.not_equal(doc[1:], doc[:-1]), pc.not_equal(blk[1:], blk[:-1])).to_numpy(zero_copy_only=False))
+            place = np.cumsum(fresh) - 1
+            start = np.flatnonzero(fresh)
+            weight = t["weight"].to_numpy()
+            gain = t["gain"].to_numpy()[start]
+            code = pc.dictionary_encode(t["term"].combine_chunks())
+            code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+            known = {x: i for i, x in enumerate(code.dictionary.to_pylist())}
+            by = np.argsort(code.indices.to_numpy(), kind="stable")
+            cut = np.searchsorted(code.indices.to_numpy()[by], np.arange(len(known) + 1))
+            plain = bool((weight >= 0).all())  # else one term may take from another
+            acc = np.zeros(len(start))
+            lists: dict[int, tuple] = {}
+
+            def of(i: int) -> tuple:
+                """Places, weights, the same for every place where it is frequent, and
+                what the n-th of its blocks has at least."""
+                if i not in lists:
+                    at, x = place[by[cut[i] : cut[i + 1]]], weight[by[cut[i] : cut[i + 1]]]
+                    full = None
+                    if len(at) * 8 > len(start):
+                        full = np.zeros(len(start))
+                        full[at] = x
+                    own = x if min_score is None else x[x >= min_score]
+                    own = own * gain[at if min_score is None else at[x >= min_score]]
+                    lists[i] = at, x, full, np.partition(own, len(own) - n)[len(own) - n] if plain and len(own) >= n else -np.inf
+                return lists[i]
+
+            def finished(at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                s = np.round(s, 9)
+                if min_score is not None:
+                    ok = ~(s < min_score)
+                    at, s = at[ok], s[ok]
+                return _first(at, np.round(s * gain[at], 9), n)
+
+            for lead, words, times in zip(right["lead"].to_pylist(), right["term"].to_pylist(), right["times"].to_pylist()):
+                mine = [(of(known[x]), m) for x, m in zip(words, times) if x in known]
+                if not mine:
+                    continue
+                if len(mine) == 1:
+                    (at, x, _, _), m = mine[0]
+                    out.append((lead, *finished(at, x * m)))
+                    continue
+                mine.sort(key=lambda z: -len(z[0][0]))
+                (at, x, full, _), m = mine[0]
+                if full is not None:
+                    np.multiply(full, m, out=acc)
+                else:
+                    acc.fill(0)
+                    acc[at] = x * m
+                for (at, x, full, _), m in mine[1:]:
+                    if full is not None:
+                        np.add(acc, full if m == 1 else full * m, out=acc)
+                    else:
+                        acc[at] += x if m == 1 else x * m
+                least = max(z[3] * m for z, m in mine) / most
+                if plain and min_score is not None:
+                    least = max(least, min_score)
+                least -= 1e-8  # scores are rounded
+                at = np.flatnonzero(acc >= least) if least > 0 else np.unique(np.concatenate([z[0] for z, _ in mine]))
+                out.append((lead, *finished(at, acc[at])))
+        if not out:
+            return pa.table({"lead": pa.array([], pa.int64()), "document_id": pa.array([], pa.string()), "block_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        at = pa.array(start[np.concatenate([a for _, a, _ in out])])
+        lead = np.repeat(np.array([x for x, _, _ in out], dtype=np.int64), [len(a) for _, a, _ in out])
+        return pa.table({"lead": lead, "document_id": doc.take(at), "block_id": blk.take(at), "score": np.concatenate([s for _, _, s in out])})
+
+    return run
+
+
 def boosted(scores: DataFrame, blocks: DataFrame, min_score: float | None = None, factor: float = BOOST) -> DataFrame:
     """Scores of existing blocks; the least score holds before headings gain."""
     s = scores if min_score is None else scores.filter(F.col("score") >= min_score)

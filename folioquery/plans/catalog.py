@@ -49,6 +49,11 @@ def vecs(spark, d):
     return v.filter(V.usable(F.col("vector"), size)).dropDuplicates(["vec_id"])
 
 
+def headings(spark, d):
+    """blocks with what a boost needs, so that no content is shuffled."""
+    return ix.unique_blocks(table(spark, d, "content_blocks").select("document_id", "block_id", "block_key", "is_heading"))
+
+
 def one_query(spark, text=QUERY):
     return spark.createDataFrame([(0, text)], "query_id long, query_text string")
 
@@ -57,6 +62,11 @@ def bm25(spark, d, queries):
     return search.bm25(queries, posts(spark, d), stats(spark, d))
 
 
+def best(spark, d, n, **opts):
+    """The best n hits of each stored query."""
+    return search.best(table(spark, d, "search_queries"), posts(spark, d), stats(spark, d), n, **opts)
+
+
 # --- index ----------------------------------------------------------------------
 def block_split(spark, d):
     return ix.split_lines(docs(spark, d)).select("doc_id", "sequence", "block_id", "content")
@@ -221,7 +231,7 @@ def bm25_topk(spark, d):
 
 
 def bm25_batch(spark, d):
-    return _scores(search.top(bm25(spark, d, table(spark, d, "search_queries")), 10))
+    return _scores(best(spark, d, 10))
 
 
 def bm25_heading_boost(spark, d):
@@ -630,7 +640,7 @@ def p5_found(spark, d):
     return incremental.next_run(x, runs, at).select("doc_id")
 
 
-HELPERS = {"Window", "docs", "blocks", "posts", "stats", "tags", "vecs", "one_query", "bm25", "table", "new_path", "written", "queries", "oracle_sql"}
+HELPERS = {"Window", "docs", "blocks", "headings", "posts", "stats", "tags", "vecs", "one_query", "bm25", "best", "table", "new_path", "written", "queries", "oracle_sql"}
 
 
 def queries() -> dict:

@@ -136,3 +136,49 @@ def test_unique_blocks_and_postings(spark, rows, crowded):
     assert rows(ix.unique_blocks(crowded(b)), "document_id", "block_id", "content") == [("d", "1", "new")]
     p = spark.createDataFrame([("t", "d", "1", [0], 0.5), ("t", "d", "1", [0], 0.5), ("", "d", "1", [0], 0.5), (None, "d", "1", None, None), ("u", "d", "1", None, None)], "term string, document_id string, block_id string, positions array<int>, term_frequency double")
     assert rows(ix.unique_postings(crowded(p)), "term") == [("t",), ("u",)]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Blocks of few words, so that scores tie, and queries that share terms."""
+    words = "learn deep net data tree graph".split()
+    text = lambda i, k: " ".join(words[(i * 7 + j * j * 3 + i // 5) % 6] for j in range(1 + (i + k) % 4))
+    data = [(f"d{i % 13}", f"b{i}", i, "text", text(i, 1), i, i % 5 == 0, None, 1) for i in range(200)]
+    blocks = spark.createDataFrame(data, B)
+    posts = ix.postings(blocks, stemming=False)
+    queries = [(i, " ".join(words[(i + j * (i % 3)) % 6] for j in range(1 + i % 4))) for i in range(24)] + [(24, "tree data"), (25, "data tree"), (26, "absent"), (27, None)]
+    return spark.createDataFrame(queries, "query_id long, query_text string"), posts, ix.document_stats(blocks, posts), blocks
+
+
+@pytest.mark.parametrize("part", [10_000, 60])
+@pytest.mark.parametrize("how", ["plain", "kept", "boosted", "least"])
+def test_best_is_the_top_of_all(many, rows, part, how):
+    q, posts, stats, blocks = many
+    s = S.bm25(q, posts, stats)
+    kept = blocks.filter("document_id in ('d1', 'd2', 'd5')").select("document_id").distinct()
+    least = 0.5
+    want, opts = {
+        "plain": (s, {}),
+        "kept": (flt.restricted(s, kept), {"kept": kept}),
+        "boosted": (S.boosted(s, blocks), {"blocks": blocks}),
+        "least": (S.boosted(s, blocks, least), {"blocks": blocks, "min_score": least}),
+    }[how]
+    cols = ["query_id", "document_id", "block_id", F.round("score", 7).alias("score"), "rank"]
+    assert rows(S.best(q, posts, stats, 5, part=part, **opts), *cols) == rows(S.top(want, 5), *cols)
+    assert how == "least" or rows(S.top(want, 5), "query_id")
+
+
+def test_best_with_weights_below_zero(spark, many, rows):
+    """More documents have a term than have statistics."""
+    q, posts, stats, _ = many
+    few = stats.filter("document_id in ('d1', 'd2')")
+    cols = ["query_id", "document_id", "block_id", F.round("score", 7).alias("score"), "rank"]
+    assert rows(S.best(q, posts, few, 4), *cols) == rows(S.top(S.bm25(q, posts, few), 4), *cols)
+
+
+@pytest.mark.parametrize("name", ["bm25_batch", "bm25_min_score", "bm25_heading_boost", "search_filtered"])
+def test_queries_make_no_row_for_every_match(spark, monkeypatch, name):
+    from folioquery.plans import catalog
+
+    monkeypatch.setattr(S, "bm25", None)
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
