@@ -239,7 +239,7 @@ def bm25_heading_boost(spark, d):
 
 
 def bm25_min_score(spark, d):
-    return _scores(search.top(search.boosted(bm25(spark, d, table(spark, d, "search_queries")), blocks(spark, d), min_score=1.0), 10))
+    return _scores(best(spark, d, 10, blocks=headings(spark, d), min_score=1.0))
 
 
 def boolean_search(spark, d):
