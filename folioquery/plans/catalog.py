@@ -235,7 +235,7 @@ def bm25_batch(spark, d):
 
 
 def bm25_heading_boost(spark, d):
-    return _scores(search.top(search.boosted(bm25(spark, d, table(spark, d, "search_queries")), blocks(spark, d)), 10))
+    return _scores(best(spark, d, 10, blocks=headings(spark, d)))
 
 
 def bm25_min_score(spark, d):
