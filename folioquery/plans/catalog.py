@@ -217,8 +217,7 @@ def block_filters(spark, d):
 def search_filtered(spark, d):
     """Documents are filtered before ranking, so the best of what is left come out."""
     kept = flt.Filter(sources=["crm_notes", "wiki_export"]).apply(docs(spark, d))
-    s = flt.restricted(bm25(spark, d, table(spark, d, "search_queries")), kept)
-    return search.top(s, 5).select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
+    return best(spark, d, 5, kept=kept).select("query_id", "document_id", "block_id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- search -----------------------------------------------------------------------
