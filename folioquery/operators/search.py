@@ -239,20 +239,32 @@ def boolean_matches(posts: DataFrame, text: str) -> DataFrame:
     return held.filter(cond).select("document_id", "block_id")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block: int = 2048, part: int = 16_384, skip_own: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block: int = 16_384, part: int = 65_536, skip_own: bool = True) -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact k nearest by cosine.
 
     queries: query_id, model, vector; vectors: vec_id, model, vector, usable
     ones. Queries are split into blocks of about ``block`` and vectors into parts
-    of about ``part`` rows; each pair of these is one matrix product that gives at
-    most k per query, equal similarities by vec_id, so nothing is broadcast and no
-    pair of rows is made. With ``skip_own`` queries are vectors of the table: one
+    of about ``part`` rows; each pair of these gives at most k per query, equal
+    similarities by vec_id, so nothing is broadcast and no pair of rows is made.
+    Products in single precision tell which pairs can be among the k; these are
+    compared in double. With ``skip_own`` queries are vectors of the table: one
     is not its own neighbour.
     """
     parts = max(1, -(-vectors.count() // part))
     blocks = max(1, -(-queries.count() // block))
     q = queries.select(F.col("query_id").alias("id"), "model", "vector", F.lit(True).alias("asks"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("vb"))
     v = vectors.select(F.col("vec_id").alias("id"), "model", "vector", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("vb"))
+    near_by = 1e-5  # more than single precision is off
+
+    def cut(a: np.ndarray, b: np.ndarray, s: np.ndarray, ids: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best k of each query a; floor: what its k-th has."""
+        order = np.lexsort((ids[b], -s, a))
+        a, b, s = a[order], b[order], s[order]
+        n = np.bincount(a, minlength=len(floor))
+        nth = np.arange(len(a)) - (np.cumsum(n) - n)[a]
+        last = nth == k - 1
+        floor[a[last]] = np.maximum(floor[a[last]], s[last])
+        return a[nth < k], b[nth < k], s[nth < k]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})]
@@ -262,18 +274,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0,
         vi, vx, qi, qx = ids[~asks], x[~asks], ids[asks], x[asks]
         if not len(vi) or not len(qi):
             return out[0]
-        for i in range(0, len(qi), 256):
-            s = np.round(qx[i : i + 256] @ vx.T, 9)
-            if skip_own:
-                s[qi[i : i + 256][:, None] == vi[None, :]] = -2
-            m = min(k, s.shape[1])
-            kth = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-            a, b = np.nonzero((s >= np.maximum(kth, least)[:, None]) & (s > -2))
-            order = np.lexsort((vi[b], -s[a, b], a))
-            a, b = a[order], b[order]
-            n = np.bincount(a, minlength=1)
-            keep = np.arange(len(a)) - (np.cumsum(n) - n)[a] < k
-            out.append(pd.DataFrame({"query_id": qi[i + a[keep]], "vec_id": vi[b[keep]], "similarity": s[a[keep], b[keep]]}))
+        small = vx.astype(np.float32)
+        for i in range(0, len(qi), 512):
+            own, mine = qx[i : i + 512], qi[i : i + 512]
+            single, floor = own.astype(np.float32), np.full(len(mine), least)
+            a, b, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for j in range(0, len(vi), 8192):
+                near = single @ small[j : j + 8192].T
+                if skip_own:
+                    r = np.flatnonzero(np.isin(mine, vi[j : j + 8192]))
+                    r, c = r[(e := np.nonzero(mine[r][:, None] == vi[None, j : j + 8192]))[0]], e[1]
+                    near[r, c] = -3
+                low = floor - near_by
+                if not j and near.shape[1] >= k:
+                    low = np.maximum(low, np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - near_by)
+                na, nb = np.nonzero(near >= np.maximum(low, -2).astype(np.float32)[:, None])
+                for m in range(0, len(na), 65_536):
+                    ma, mb = na[m : m + 65_536], nb[m : m + 65_536] + j
+                    ms = np.round(np.einsum("ij,ij->i", own[ma], vx[mb]), 9)
+                    ok = ms >= floor[ma]
+                    a, b, s = cut(np.concatenate([a, ma[ok]]), np.concatenate([b, mb[ok]]), np.concatenate([s, ms[ok]]), vi, floor)
+            out.append(pd.DataFrame({"query_id": mine[a], "vec_id": vi[b], "similarity": s}))
         return pd.concat(out, ignore_index=True)
 
     near = q.unionByName(v).groupBy("model", "qb", "vb").applyInPandas(run, "query_id long, vec_id long, similarity double")

@@ -19,6 +19,7 @@ from folioquery.functions import vectors as V
 from folioquery.operators import embedding, search
 from folioquery.operators.filters import Filter, restricted
 from folioquery.schemas import MODES
+from folioquery.session import written
 
 
 @dataclass(frozen=True)
@@ -62,11 +63,9 @@ class Options:
 
 
 def keyword_hits(queries: DataFrame, tables: Tables, kept: DataFrame | None, o: Options) -> DataFrame:
-    """(query_id, document_id, block_id, score) by BM25 in the documents kept.
-    Frequencies are those of the whole store."""
-    s = search.bm25(queries, tables.postings, tables.stats, o.stop_words, o.stemming)
-    s = s if kept is None else restricted(s, kept)
-    return search.boosted(s, tables.blocks) if o.heading_boost else s
+    """(query_id, document_id, block_id, score) by BM25 in the documents kept, as
+    many as enter the fusion. Frequencies are those of the whole store."""
+    return search.best(queries, tables.postings, tables.stats, 2 * o.max_results, o.stop_words, o.stemming, kept, tables.blocks if o.heading_boost else None).drop("rank")
 
 
 def vector_hits(queries: DataFrame, tables: Tables, kept: DataFrame | None, o: Options, provider: embedding.Provider) -> DataFrame:
@@ -84,12 +83,20 @@ def vector_hits(queries: DataFrame, tables: Tables, kept: DataFrame | None, o: O
 def ranked(queries: DataFrame, tables: Tables, o: Options = Options(), provider: embedding.Provider | None = None) -> DataFrame:
     """(query_id, document_id, block_id, score, rank). Without vectors or a
     provider it is the keyword search. Null and blank queries have no hits."""
-    kept = None if o.where.is_empty() else o.where.apply(tables.documents, tables.tags, tables.vectors).select("document_id").distinct()
+    kept = _kept(tables, o)
     k = v = None
     if o.mode != "semantic" or provider is None or tables.vectors is None:
         k = keyword_hits(queries, tables, kept, o)
     if o.mode != "keyword" and provider is not None and tables.vectors is not None:
         v = vector_hits(queries, tables, kept, o, provider)
+    return _fused(k, v, o)
+
+
+def _kept(tables: Tables, o: Options) -> DataFrame | None:
+    return None if o.where.is_empty() else o.where.apply(tables.documents, tables.tags, tables.vectors).select("document_id").distinct()
+
+
+def _fused(k: DataFrame | None, v: DataFrame | None, o: Options) -> DataFrame:
     mode = "keyword" if v is None else "semantic" if k is None else "hybrid"
     return search.hybrid(v if k is None else k, v, o.max_results, o.min_score, mode, wk=o.keyword_weight, wv=o.vector_weight, use_rrf=o.use_rrf).select("query_id", "document_id", "block_id", "score", "rank")
 
@@ -99,9 +106,9 @@ def _around(hits: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
     theirs, in order. Only documents with hits are sorted."""
     b = blocks.join(hits.select("document_id").distinct(), "document_id", "left_semi")
     at = search.numbered(b)
-    lo, hi = F.col("h.at") - window, F.col("h.at") + window
-    found = hits.select("query_id", "document_id", "block_id").join(at.select("document_id", "block_id", "at"), ["document_id", "block_id"]).alias("h")
-    near = found.join(at.alias("b"), F.col("h.document_id") == F.col("b.document_id")).filter(F.col("b.at").between(lo, hi))
+    found = hits.select("query_id", "document_id", "block_id").join(at.select("document_id", "block_id", "at"), ["document_id", "block_id"])
+    found = found.withColumn("at", F.explode(F.sequence(F.col("at") - window, F.col("at") + window))).alias("h")
+    near = found.join(at.alias("b"), (F.col("h.document_id") == F.col("b.document_id")) & (F.col("h.at") == F.col("b.at")))
     rows = near.groupBy("h.query_id", "h.document_id", "h.block_id").agg(F.array_sort(F.collect_list(F.struct("b.at", "b.block_id", "b.content"))).alias("context"))
     return hits.join(rows, ["query_id", "document_id", "block_id"], "left")
 
@@ -150,14 +157,17 @@ def diagnosed(queries: DataFrame, tables: Tables, o: Options = Options(), provid
     """(query_id, keyword_results, vector_results, returned, filtered_by_score):
     how the answer to every query came about. Results of a branch are those that
     entered the fusion."""
-    kept = None if o.where.is_empty() else o.where.apply(tables.documents, tables.tags, tables.vectors).select("document_id").distinct()
+    kept = _kept(tables, o)
     n = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
-    out = queries.select("query_id").distinct().join(n(search.top(keyword_hits(queries, tables, kept, o), 2 * o.max_results), "keyword_results"), "query_id", "left")
+    k, v = written(keyword_hits(queries, tables, kept, o), "keyword"), None
+    out = queries.select("query_id").distinct().join(n(search.top(k, 2 * o.max_results), "keyword_results"), "query_id", "left")
     if provider is not None and tables.vectors is not None:
-        out = out.join(n(search.top(vector_hits(queries, tables, kept, o, provider), 2 * o.max_results), "vector_results"), "query_id", "left")
+        v = written(vector_hits(queries, tables, kept, o, provider), "near")
+        out = out.join(n(search.top(v, 2 * o.max_results), "vector_results"), "query_id", "left")
     else:
         out = out.withColumn("vector_results", F.lit(0).cast("long"))
-    every = n(ranked(queries, tables, replace(o, min_score=0.0), provider), "all")
-    out = out.join(n(ranked(queries, tables, o, provider), "returned"), "query_id", "left").join(every, "query_id", "left")
+    lists = (None if v is not None and o.mode == "semantic" else k), (None if o.mode == "keyword" else v)
+    every = n(_fused(*lists, replace(o, min_score=0.0)), "all")
+    out = out.join(n(_fused(*lists, o), "returned"), "query_id", "left").join(every, "query_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select("query_id", zero("keyword_results"), zero("vector_results"), zero("returned"), (F.coalesce("all", F.lit(0)) - F.coalesce("returned", F.lit(0))).cast("long").alias("filtered_by_score"))

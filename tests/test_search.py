@@ -182,3 +182,30 @@ def test_queries_make_no_row_for_every_match(spark, monkeypatch, name):
 
     monkeypatch.setattr(S, "bm25", None)
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "agent_search", "search_diagnostics"])
+def test_whole_searches_make_no_row_for_every_match(spark, monkeypatch, name):
+    from folioquery.plans import catalog
+
+    monkeypatch.setattr(S, "bm25", None)
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")  # the plan is enough
+
+
+def test_nearest_in_parts_of_any_size(spark, rows):
+    """Many equal similarities, own rows skipped, more rows than a product holds."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.integers(-1, 2, (9_000, 4)).astype(float)
+    x[:, 0] = 1
+    v = spark.createDataFrame([(i, "m", y.tolist()) for i, y in enumerate(x)], "vec_id long, model string, vector array<float>").repartition(4)
+    q = v.filter("vec_id % 900 = 0").withColumnRenamed("vec_id", "query_id")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for i in range(0, 9_000, 900):
+        s = np.round(u @ u[i], 9)
+        s[i] = -2
+        want |= {(i, int(j), n + 1) for n, j in enumerate(np.lexsort((np.arange(9_000), -s))[:5])}
+    for opts in ({}, {"block": 3, "part": 700}):
+        assert set(rows(S.nearest(q, v, 5, **opts), "query_id", "vec_id", "rank")) == want
