@@ -24,7 +24,7 @@ from folioquery.errors import StoreError
 from folioquery.functions import vectors as V
 from folioquery.operators import chunking, embedding, lifecycle
 from folioquery.operators import index as ix
-from folioquery.session import Commits, delete
+from folioquery.session import Commits, delete, written
 
 TABLES = {"documents": S.DOCUMENTS, "blocks": S.BLOCKS, "tags": S.TAGS, "images": S.IMAGES, "vectors": S.VECTORS, "postings": S.POSTINGS, "stats": S.DOC_STATS}
 ENDED = "what string, document_id string, block_id string"
@@ -86,22 +86,24 @@ class Store:
         return self.table("images").filter(F.col("image_id") == image_id)
 
     # --- changing
-    def _change(self, name: str, rows: dict[str, DataFrame], ended: DataFrame | None) -> bool:
+    def _change(self, name: str, rows: dict[str, DataFrame], ended: DataFrame | Callable[[dict[str, DataFrame]], DataFrame] | None) -> bool:
+        """``ended`` may be a function of the rows as they are written, so that
+        they are not made a second time, perhaps otherwise."""
         state = self.commits.last()
         if name in state.get("applied", []):
             return False
         n = state.get("change", 0) + 1
         new = dict(state) | {"change": n, "version": S.VERSION, "applied": [*state.get("applied", []), name]}
 
-        def put(table: str, df: DataFrame) -> None:
+        def put(table: str, df: DataFrame) -> DataFrame:
             at = uuid.uuid4().hex
             df.write.parquet(f"{self.path}/{table}/{at}")
             new[table] = [*state.get(table, []), [n, at]]
+            return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}/{at}")
 
-        for table, df in rows.items():
-            put(table, df)
+        saved = {table: put(table, df) for table, df in rows.items()}
         if ended is not None:
-            put("ended", ended.select(*_names(ENDED)))
+            put("ended", (ended(saved) if callable(ended) else ended).select(*_names(ENDED)))
         self.commits.add(new, state)
         if len(new.get("ended", [])) > self.after:
             self.compact()
@@ -157,8 +159,7 @@ class Store:
     def save_vectors(self, change: str, vectors: DataFrame) -> bool:
         """Replace the vectors of the blocks given."""
         v = self._fitted(vectors, S.VECTORS, self.spark)
-        ended = v.select(F.lit("vectors").alias("what"), "document_id", "block_id").filter("block_id is not null").distinct()
-        return self._change(change, {"vectors": v}, ended)
+        return self._change(change, {"vectors": v}, lambda saved: saved["vectors"].select(F.lit("vectors").alias("what"), "document_id", "block_id").filter("block_id is not null").distinct())
 
     def touch(self, change: str, documents: DataFrame, **columns: Column) -> bool:
         """Set columns of documents, such as updated_at or content_hash; their
@@ -201,11 +202,13 @@ class Store:
         pieces, pieces embedded in batches. A piece that failed has no vector, and
         its whole block waits for the next job; so a job is resumed, and gaps are
         repaired, by running another."""
-        b = self.waiting(documents).withColumn("key", F.concat_ws("\x1f", "document_id", "block_id"))
+        if change in self.commits.last().get("applied", []):
+            return False
+        b = written(self.waiting(documents).select("document_id", "block_id", "content"), "waiting").withColumn("key", F.concat_ws("\x1f", "document_id", "block_id"))
         cut = chunking.embedding_pieces(b, "key", "content", size, overlap).select("key", "chunk_idx", F.col("content").alias("piece"))
         v = embedding.embedded(cut, provider, "piece")
-        failed = v.filter("vector is null").select("key").distinct()
-        ok = v.join(failed, "key", "left_anti").join(b.select("key", "document_id", "block_id", V.text_hash(F.col("content")).alias("text_hash")), "key")
+        whole = F.count(F.when(F.col("vector").isNull(), 1)).over(Window.partitionBy("key")) == 0  # a block's few pieces
+        ok = v.drop("piece").withColumn("whole", whole).filter("whole").drop("whole").join(b.select("key", "document_id", "block_id", V.text_hash(F.col("content")).alias("text_hash")), "key")
         return self.save_vectors(change, ok.withColumn("created_at", F.current_timestamp()))
 
     def repair(self, change: str, provider: embedding.Provider) -> bool:

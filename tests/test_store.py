@@ -109,3 +109,19 @@ def test_empty(spark, tmp_path, rows):
     assert ordered(spark.createDataFrame([], B), 5).count() == 0
     many = spark.createDataFrame([("d", f"b{i}", "text", "x", i) for i in range(9)], B)
     assert rows(ordered(many, 3, 2), "block_id", "position") == [("b2", 3), ("b3", 4), ("b4", 5)]
+
+
+def test_a_job_embeds_every_piece_once(store, rows, tmp_path):
+    """What ends and what is saved come from the same vectors."""
+    at = str(tmp_path / "calls")
+
+    class Counts(embedding.HashProvider):
+        def embed(self, texts):
+            with open(at, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return super().embed(texts)
+
+    assert store.embed("job", Counts(dimension=4))
+    assert sorted(open(at).read().splitlines()) == ["alpha beta alpha", "gamma"]
+    assert rows(store.table("vectors"), "document_id", "block_id") == [("d1", "b1"), ("d2", "b1")]
+    assert not store.embed("job", Counts(dimension=4))
